@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf
+from . import crf, toxicity
 from .common import table
 
 
@@ -15,8 +15,14 @@ def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of documents."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
+    "op5_toxicity": op5_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
