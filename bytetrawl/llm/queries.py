@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, decontam, minhash, quality, toxicity
+from . import crf, decontam, minhash, quality, toxicity, warc
 from .common import table
 
 
@@ -35,8 +35,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through archives."""
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
+    "op3_warc": op3_warc,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_quality": op8_quality,
