@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, decontam, minhash, quality, toxicity, warc
+from . import crf, decontam, minhash, packing, quality, toxicity, warc
 from .common import table
 
 
+def word_tokenizer() -> str:
+    """Where the public word tokenizer lies; every machine has it in its own installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in documents."""
     return crf.pii_spans(table(spark, sf_dir, "documents"))
@@ -40,8 +47,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences."""
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
+    "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
