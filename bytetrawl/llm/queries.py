@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, decontam, minhash, packing, quality, toxicity, warc
+from . import crf, decontam, html_tree, minhash, packing, quality, toxicity, warc
 from .common import table
 
 
@@ -52,6 +52,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of pages."""
+    return html_tree.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
     "op2_packing": op2_packing,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_quality": op8_quality,
+    "op9_html": op9_html,
     "op10_minhash": op10_minhash,
 }
 
