@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, decontam, html_tree, minhash, packing, quality, toxicity, warc
+from . import ann, crf, decontam, html_tree, minhash, packing, quality, toxicity, warc
 from .common import table
 
 
@@ -57,12 +57,18 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extracted(table(spark, sf_dir, "pages"))
 
 
+def op7_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of embeddings."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_rotated_codes": op7_rotated_codes,
     "op8_quality": op8_quality,
     "op9_html": op9_html,
     "op10_minhash": op10_minhash,
