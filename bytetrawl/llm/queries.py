@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, crf, decontam, html_tree, minhash, packing, quality, toxicity, warc
+from . import ann, crf, decontam, html_tree, minhash, packing, quality, suffix, toxicity, warc
 from .common import table
 
 
@@ -62,10 +62,16 @@ def op7_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without repeated byte strings."""
+    return suffix.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_rotated_codes": op7_rotated_codes,
