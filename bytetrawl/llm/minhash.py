@@ -13,12 +13,13 @@ by others are not needed.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from .common import mix64, prepare, segment_hashes, written
 from .graph import components
@@ -29,6 +30,8 @@ PREFIX = COORDINATES - MATCHES + 1
 LEAST = 85
 #: Members of a list or component in a block, until there are MOST_BLOCKS blocks; then blocks grow.
 BLOCK, MOST_BLOCKS = 96, 48
+#: Postings, and shingle sets, that a task takes at once, on average.
+BUCKET_POSTS, BUCKET_SETS = 4000, 400
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -139,58 +142,81 @@ class _Forest:
         return True
 
 
-def _pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, bool]:
-    """Which members stand in the first block, and whether both blocks are one."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    return (pdf["block"] == i).to_numpy(), i == j
+def _spanning(nodes: np.ndarray, first: np.ndarray, same: bool, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning links between two blocks, or within one. near: which of some members are linked with a member.
+
+    Links within either of two blocks are known from the blocks' own tasks: they are followed here, and left out.
+    """
+    forest, out, apart = _Forest(len(nodes)), [], len(nodes) - 1
+
+    def link(left: np.ndarray, right: np.ndarray, keep: bool) -> None:
+        nonlocal apart
+        for x in left:
+            if not apart:
+                return
+            for y in near(int(x), right):
+                if forest.join(int(x), int(y)):
+                    apart -= 1
+                    if keep and nodes[x] != nodes[y]:
+                        out.append((int(nodes[x]), int(nodes[y])))
+
+    one, two = np.flatnonzero(first), np.flatnonzero(~first)
+    link(one, one, same)
+    if not same and len(one) and len(two):
+        link(two, two, False)
+        link(one, two, True)
+    return out
 
 
-def candidate_forest(pdf: pd.DataFrame) -> pd.DataFrame:
+def candidate_forest(nodes: np.ndarray, sig: np.ndarray, first: np.ndarray, same: bool) -> list[tuple[int, int]]:
     """Spanning links among the pairs of two blocks of a list that agree in MATCHES coordinates."""
-    node = pdf["node"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDINATES)
-    first, same = _pairs(pdf)
-    left = np.flatnonzero(first)
-    right = left if same else np.flatnonzero(~first)
-    forest, out = _Forest(len(pdf)), []
-    for x in left:
-        hits = right[(sig[right] == sig[x]).sum(axis=1) >= MATCHES]
-        for y in hits:
-            if x != y and node[x] != node[y] and forest.join(int(x), int(y)):
-                out.append((node[x], node[y]))
-    return pd.DataFrame(out, columns=["a", "b"])
+    return _spanning(nodes, first, same, lambda x, others: others[(sig[others] == sig[x]).sum(axis=1) >= MATCHES])
 
 
 def confirmed_forest(nodes: np.ndarray, sets: list[np.ndarray], first: np.ndarray, same: bool) -> list[tuple[int, int]]:
     """Spanning links among the pairs of two blocks whose full sets are similar enough."""
-    left = np.flatnonzero(first)
-    right = left if same else np.flatnonzero(~first)
-    if not len(left) or not len(right):
-        return []
-    own = np.concatenate([sets[y] for y in right])
-    who = np.repeat(np.arange(len(right)), [len(sets[y]) for y in right])
-    order = np.argsort(own, kind="stable")
-    own, who = own[order], who[order]
-    sizes = np.array([len(sets[y]) for y in right])
-    forest, out = _Forest(len(sets)), []
-    for x in left:
-        s = sets[x]
-        lo, hi = np.searchsorted(own, s, "left"), np.searchsorted(own, s, "right")
+    sizes = np.array([len(s) for s in sets])
+    every = np.concatenate(sets)
+    who = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, who = every[order], who[order]
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
         n = hi - lo
-        if not n.sum():
-            continue
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(who[at], minlength=len(right))
-        for y in right[100 * both >= LEAST * (len(s) + sizes - both)]:
-            if x != y and nodes[x] != nodes[y] and forest.join(int(x), int(y)):
-                out.append((int(nodes[x]), int(nodes[y])))
-    return out
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(who[at], minlength=len(sets))[others]
+        return others[100 * both >= LEAST * (sizes[x] + sizes[others] - both)]
+
+    return _spanning(nodes, first, same, near)
+
+
+def _by_group(pdf: pd.DataFrame, group: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Of each group and pair of blocks in a bucket: its rows, which of them are in the first block, and whether both blocks are one."""
+    i, j, block = (pdf[c].to_numpy() for c in ("i", "j", "block"))
+    for rows in pdf.groupby([group, "i", "j"], sort=False).indices.values():
+        if len(rows) > 1:
+            yield rows, block[rows] == i[rows[0]], bool(i[rows[0]] == j[rows[0]])
+
+
+def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+    node = pdf["node"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDINATES)
+    out = {link for rows, first, same in _by_group(pdf, "post") for link in candidate_forest(node[rows], sig[rows], first, same)}
+    return pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
 def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-    first, same = _pairs(pdf)
+    node = pdf["node"].to_numpy()
     sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
-    return pd.DataFrame(confirmed_forest(pdf["node"].to_numpy(), sets, first, same), columns=["a", "b"])
+    out = [link for rows, first, same in _by_group(pdf, "cluster") for link in confirmed_forest(node[rows], [sets[r] for r in rows], first, same)]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _bucketed(blocks: DataFrame, group: str, rows: int, per_bucket: int) -> GroupedData:
+    """Pairs of blocks together in buckets of about per_bucket rows, so that small groups share a call."""
+    n = max(1, rows // per_bucket)
+    return blocks.withColumn("bucket", F.pmod(F.xxhash64(group, "i", "j"), F.lit(n))).groupBy("bucket")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,9 +232,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = all_rows.where("key is not null and doc_id is not null")
     sets = written(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("posts").alias("posts")), "sets")
     posts = sets.select("node", "sig", F.explode("posts").alias("post"))
-    lists = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = in_blocks(posts, "post", lists)
-    forest = blocks.groupBy("post", "i", "j").applyInPandas(candidate_forest, "a long, b long")
+    lists = written(posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    posted = lists.agg(F.sum("n")).first()[0] or 0
+    forest = _bucketed(in_blocks(posts, "post", lists), "post", posted, BUCKET_POSTS).applyInPandas(_candidates, "a long, b long")
     candidates = written(components(forest), "candidates")
     sizes = candidates.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n"))
     members = sets.join(candidates.withColumnRenamed("node", "c"), F.col("node") == F.col("c")).select("node", "key", F.col("component").alias("cluster"))
@@ -221,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(members, F.col("doc_id") == F.col("node"))
     with_sets = texts.select("node", "key", "cluster", "text").mapInPandas(full, "node long, cluster long, shingles binary")
-    links = in_blocks(with_sets, "cluster", sizes).groupBy("cluster", "i", "j").applyInPandas(_confirm, "a long, b long")
+    links = _bucketed(in_blocks(with_sets, "cluster", sizes), "cluster", candidates.count(), BUCKET_SETS).applyInPandas(_confirm, "a long, b long")
     groups = components(links).withColumnRenamed("node", "g")
     by_set = sets.join(groups, F.col("node") == F.col("g"), "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("set_component"))
     out = all_rows.join(by_set, F.col("key") == F.col("k"), "left")
