@@ -158,10 +158,12 @@ def hit_texts(df: DataFrame, column: str, patterns: PatternSet, keys: Sequence[s
     kind = dict(df.dtypes)[column]
     if kind != "string" or any(e is None for _, e in expressions):
         return search(df, column, patterns, keys).select(*keys, "hit_text", "keyword_index", "user_index", "pattern", "enc_chain")
-    per_label = [
-        F.transform(F.regexp_extract_all(column, F.lit(f"(?s)({e})"), F.lit(1)), lambda t, x=x: F.struct(t.alias("hit_text"), F.lit(x.keyword_index).alias("keyword_index"), F.lit(x.user_index).cast("long").alias("user_index"), F.lit(x.pattern).alias("pattern"), F.lit(x.enc_chain).alias("enc_chain")))
-        for x, e in expressions
-    ]
+
+    def of(x: Label, e: str) -> Column:
+        meta = [F.lit(x.keyword_index).alias("keyword_index"), F.lit(x.user_index).cast("long").alias("user_index"), F.lit(x.pattern).alias("pattern"), F.lit(x.enc_chain).alias("enc_chain")]
+        return F.transform(F.regexp_extract_all(column, F.lit(f"(?s)({e})"), F.lit(1)), lambda t: F.struct(t.alias("hit_text"), *meta))
+
+    per_label = [of(x, str(e)) for x, e in expressions]
     hits = per_label[0] if len(per_label) == 1 else F.concat(*per_label)
     return df.where(F.col(column).isNotNull()).select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
 

@@ -307,11 +307,10 @@ def _class(spark: SparkSession, d: str) -> DataFrame:
     return tools.code_points(spark, "[à-ÿ--÷]", "iso-8859-1").select("cp", "char")
 
 
-@_made("graph_edges", _values([(0, 1, "61", 0), (1, 1, "61", 0), (1, 2, "62-63", 1), (0, 3, "62", 1)], ["source", "target", "bytes", "priority"]))
+@_made("graph_edges", _values([(0, 1, "61", 0), (1, 2, "61", 0), (1, 3, "62-63", 1), (2, 2, "61", 0), (2, 3, "62-63", 1), (0, 4, "62", 0)], ["source", "target", "bytes", "priority"]))
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the automaton of two patterns; the second label's edges follow the first's."""
-    e = tools.graph_tables(spark, P(["a+[bc]", "b"]))[1]
-    return e.withColumn("priority", F.when((F.col("source") == 0) & (F.col("target") == 3), 1).otherwise(F.col("priority")))
+    """Edges of the automaton of two patterns."""
+    return tools.graph_tables(spark, P(["a+[bc]", "b"]))[1]
 
 
 @_made("list_encodings")
