@@ -162,7 +162,8 @@ def labelled_sentences(n: int = 700, seed: int = 7) -> list[list[tuple[str, str]
         return "".join(r.choice("0123456789abcdef") for _ in range(k))
 
     def upper(k: int) -> str:
-        return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+        few = r.choice([0.0, 0.1, 0.3])
+        return "".join(r.choice("0123456789") if r.random() < few else r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(k))
 
     def email() -> list[str]:
         user = name() + r.choice(["", ".", "_", "-", "+"]) + r.choice([name(), digits(2), ""])
@@ -181,7 +182,7 @@ def labelled_sentences(n: int = 700, seed: int = 7) -> list[list[tuple[str, str]
 
     def secret() -> list[str]:
         key = r.choice(["password", "token", "secret", "api_key", "pwd", "apikey", "key"])
-        value = r.choice([hexes(18), hexes(32), hexes(40), upper(20), name() + digits(4) + upper(6)])
+        value = r.choice([hexes(18), hexes(32), hexes(40), digits(1) + upper(19), name() + digits(4) + upper(6)])
         return r.choice([[f"{key}={value}"], [f"{key}={value}"], [key, "=", f'"{value}"'], [key, "=", f'"{value}"'], [f"{key}:{value}"], [f"{key}:", value], ["AKIA" + upper(16)], ["AKIA" + upper(16)], ["AKIA" + upper(16)]])
 
     def none() -> list[str]:
@@ -194,15 +195,17 @@ def labelled_sentences(n: int = 700, seed: int = 7) -> list[list[tuple[str, str]
         for _ in range(r.randint(1, 4)):
             sentence += [(word(), "O") for _ in range(r.randint(0, 4))]
             if r.random() < 0.3:
-                sentence += [(w, "O") for w in none()]
-                sentence += [(word(), "O")]
+                for _ in range(r.choice([1, 1, 2, 3])):
+                    sentence += [(w, "O") for w in none()]
+                sentence += [(word(), "O") for _ in range(r.randint(0, 1))]
             if r.random() < 0.75:
                 kind = r.choice(KINDS)
                 words = makers[kind]()
                 if r.random() < 0.25:
                     words[-1] += r.choice([".", ",", ";", ")"])
                 sentence += [(w, f"{'I' if i else 'B'}-{kind}") for i, w in enumerate(words)]
-                sentence += [(word(), "O")]
+                if r.random() < 0.55:  # else the next one follows at once
+                    sentence += [(word(), "O")]
             if r.random() < 0.25:
                 sentence += [(r.choice(sorted(TRIGGERS)), "O"), (word(), "O")]
         sentence += [(word(), "O")]
@@ -325,7 +328,7 @@ def train(sentences: list[list[tuple[str, str]]], rounds: int = 60, rate: float
 
 
 @functools.lru_cache(maxsize=4)
-def trained_field(n: int = 400, seed: int = 7) -> Field:
+def trained_field(n: int = 600, seed: int = 7) -> Field:
     """The field trained on the module's labelled table."""
     return train(labelled_sentences(n, seed))
 
