@@ -55,7 +55,7 @@ class Words:
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
                 self.known.update((w, x.astype("<u2").tobytes()) for w, x in zip(part, np.split(ids, stops[:-1]), strict=True))
@@ -66,7 +66,7 @@ class Words:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and END_ID, as unsigned little-endian 16-bit numbers."""
         split = [None if _ODD.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        if len(self.known) > 400_000:
+        if len(self.known) > 800_000:
             self.known.clear()
         new = set()
         for s in split:
