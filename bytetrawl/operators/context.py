@@ -94,7 +94,7 @@ def read_window(data: bytes, offset: int, chain: str, begin: int, end: int, pre:
     left: list[tuple[int, int]] = []
     if pre:
         best = None
-        for back in range(min(begin, pre * 4), max(-1, min(begin, pre * 4) - 4), -1):
+        for back in range(min(begin, pre * 4), max(0, min(begin, pre * 4) - 4), -1):
             values = decode(data[begin - back : begin], begin - back)[-pre:]
             run = 0
             for v, _ in reversed(values):

@@ -123,6 +123,8 @@ def _run(df: DataFrame, column: str, patterns: PatternSet, keys: Sequence[str],
                         one += [c.context, c.data_offset + off, c.hit_begin, c.hit_end]
                     for column, value in zip(columns[len(keys) :], one, strict=True):
                         column.append(value)
+            if not rows:  # lists without rows would make columns of a wrong type
+                continue
             out = {k: pdf[k].take(rows).reset_index(drop=True) for k in keys}
             out |= dict(zip(names[len(keys) :], columns[len(keys) :], strict=True))
             yield pd.DataFrame(out, columns=names)
