@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import filled, prepare, written
 
 NEAREST, QUERY_EVERY = 20, 20
 #: Centroids are fitted on at most so many vectors; a cell has CELL_ROWS vectors on average, a block at most about BLOCK_ROWS.
@@ -83,7 +83,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (float64 bytes) of vectors without nulls, infinities and NaNs that aren't zero, of the most common dimension."""
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             rows = []
             for i, e in zip(pdf["vec_id"], pdf["embedding"], strict=True):
                 if e is None or i is None or i != i or not len(e) or any(x is None for x in e):
@@ -122,7 +122,7 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST) -> D
     visits = visits_needed(sample, c, k)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             x = matrix(pdf["v"], d)
             cell = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
             bits, length, inner = codes(x, c[cell], turn)
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST) -> D
     asked = queries.groupBy("key").agg(F.first("v").alias("v"))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             x = matrix(pdf["v"], d)
             best = np.argpartition(-(x @ c.T), visits - 1, axis=1)[:, :visits] if visits < cells else np.tile(np.arange(cells), (len(x), 1))
             out = pd.DataFrame({"qkey": np.repeat(pdf["key"].to_numpy(), visits), "q": np.repeat(pdf["v"].to_numpy(), visits), "cell": best.reshape(-1).astype(np.int32)})
@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST) -> D
     def search(index: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         columns = ["qkey", "score", "ids"]
         if not len(index) or not len(asks):
-            return pd.DataFrame({x: [] for x in columns})
+            return pd.DataFrame([], columns=columns)
         x, own = matrix(index["v"], d), c[int(index["cell"].iloc[0])]
         bits = np.frombuffer(b"".join(index["bits"]), dtype=np.uint8).reshape(len(index), -1)
         length, inner, ids = index["length"].to_numpy(), index["inner"].to_numpy(), index["ids"].to_numpy()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: list[str] = []
@@ -49,6 +51,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches that have rows; lists without rows would make columns of a wrong type."""
+    return (pdf for pdf in batches if len(pdf))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: each input bit changes about half of the output bits."""
     x = x ^ (x >> np.uint64(33))

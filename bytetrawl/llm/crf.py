@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import filled, prepare
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O",) + tuple(f"{at}-{kind}" for kind in KINDS for at in "BI")
@@ -436,7 +436,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     field = trained_field()
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             rows = []
             texts = [t or "" for t in pdf["text"]]
             for base, more in find_spans(texts, field):
@@ -457,7 +457,7 @@ def redact(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             texts = list(pdf["text"])
             found = find_spans([t or "" for t in texts], field)
             new = []

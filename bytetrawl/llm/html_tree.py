@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import filled, prepare, written
 
 #: Branches below IMPORTANCE that at least PAGES pages of a host have are removed.
 IMPORTANCE, PAGES = 0.3, 4
@@ -183,7 +183,7 @@ def low_importance(pages: DataFrame) -> DataFrame:
     """(host, path) of the branches that a host's pages show too much alike."""
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             rows = []
             for url, source in zip(pdf["url"], pdf["html"], strict=True):
                 h = host(url)
@@ -234,7 +234,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         of = pages.select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("removed"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             texts = [main_text(parse(s), frozenset(map(int, r)) if r is not None else frozenset()) if s else "" for s, r in zip(pdf["html"], pdf["removed"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData
 
-from .common import mix64, prepare, segment_hashes, written
+from .common import filled, mix64, prepare, segment_hashes, written
 from .graph import components
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 17
@@ -93,7 +93,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key (hash of the set, null if empty), sig (a byte for each coordinate) and posts (hashes of the prefix's coordinates)."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             rows = []
             for s in shingle_sets(list(pdf["text"])):
                 if len(s):
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = sets.join(candidates.withColumnRenamed("node", "c"), F.col("node") == F.col("c")).select("node", "key", F.col("component").alias("cluster"))
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             got = shingle_sets(list(pdf["text"]))
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(k) for s, k in zip(got, pdf["key"], strict=True)]
             yield pd.DataFrame({"node": pdf["node"], "cluster": pdf["cluster"], "shingles": [s.tobytes() for s in got]})[same]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import filled, prepare, written
 
 WINDOW, BINS, PARTS = 4096, 64, 3
 STEP = WINDOW // BINS
@@ -92,7 +92,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = _OPEN.setdefault(path, Words(path)) if path not in _OPEN else _OPEN[path]
-        for pdf in batches:
+        for pdf in filled(batches):
             ids = words.encode([t or "" for t in pdf["text"]])
             yield pd.DataFrame({"uid": pdf["uid"], "doc_id": pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "n": [len(i) // 2 for i in ids], "ids": ids})
 
@@ -276,7 +276,7 @@ def packed_pieces(docs: DataFrame, path: str) -> DataFrame:
     by_row = pieces(tokens.select("uid", "n")).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("start", "length", "seq", "offset")).alias("cuts"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             rows = []
             for doc_id, n, ids, cuts in zip(pdf["doc_id"], pdf["n"], pdf["ids"], pdf["cuts"], strict=True):
                 own = np.frombuffer(ids, dtype="<u2").astype("<u4")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import filled, prepare
 from .toxicity import logistic
 
 #: At most so many labelled rows, and so many unlabelled ones, are learnt from; chosen by a hash of doc_id.
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             a, b = _parts(pdf)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "a": list(a), "b": list(b)})
 
@@ -163,7 +163,7 @@ def quality(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> D
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in names), "score double", "accepted boolean"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             s = model.score(_parts(pdf)) if model else np.ones(len(pdf))
             yield pdf[names].assign(score=s, accepted=s >= THRESHOLD)
 

@@ -23,7 +23,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, mix64, powers, prepare, segment_hashes, written
+from .common import _INVERSE, filled, mix64, powers, prepare, segment_hashes, written
 
 LENGTH, GRAM, COVER, HOT = 200, 64, 32, 256
 #: Blocks in a bucket, on average.
@@ -179,7 +179,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
             us = pdf["u"].to_numpy()
             for i, data, limits in _parts(raw):
@@ -207,7 +207,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     texts = rows.join(by_text, F.col("u") == F.col("w")).select("u", "text", "cuts")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             out: list[tuple] = []
             for u, text, cuts in zip(pdf["u"], pdf["text"], pdf["cuts"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -230,7 +230,7 @@ def _hot_spans(hot: DataFrame) -> DataFrame:
     """Spans of the strings of hot anchors that stand in more than one block, by two hashes of each string."""
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             for fp, c, u, first, block in zip(pdf["fp"], pdf["c"], pdf["u"], pdf["first"], pdf["block"], strict=True):
                 data = np.frombuffer(block, dtype=np.uint8)
                 s = np.arange(len(data) - LENGTH + 1)
@@ -255,7 +255,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     by_text = spans.groupBy(F.col("u").alias("w")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             out = []
             for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import filled, prepare
 
 LAMBDA, SPAN, SYMBOLS, PIECE = 0.7, 6, 64, 24
 #: At most so many labelled rows of each class are learnt from.
@@ -219,16 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             rows = [(w, int(y), 1 - int(y)) for t, y in zip(pdf["text"], pdf["toxic"], strict=True) for w in units(t)]
-            yield pd.DataFrame(rows, columns=["word", "t", "c"]).groupby("word", as_index=False).sum() if rows else pd.DataFrame({"word": [], "t": [], "c": []})
+            yield pd.DataFrame(rows, columns=["word", "t", "c"]).groupby("word", as_index=False).sum() if rows else pd.DataFrame(rows, columns=["word", "t", "c"])
 
     counts = texts.mapInPandas(words, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("n_toxic"), F.sum("c").alias("n_clean")).toPandas()
     weights, bias = fit_words(counts, sum(chosen.values()))
     scorer = Scorer(weights, bias, np.zeros(3))
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             h = scorer.highest(list(pdf["text"]))
             yield pd.DataFrame({"a": h[:, 0], "b": h[:, 1], "y": pdf["toxic"].to_numpy()})
 
@@ -250,7 +250,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scorer = fit(docs, labels)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             s = scorer.scores(scorer.highest([t or "" for t in pdf["text"]]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "score": s, "predicted": (s >= 0.5).astype(int)})
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare
+from .common import filled, new_path, prepare
 
 _END = b"\r\n\r\n"
 _NEXT = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|WARC/1\.[01]\r\n")
@@ -91,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filled(batches):
             out = []
             for page_id, url, p, last_id, again in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["last"], pdf["revisit"], strict=True):
                 own = None if page_id is None or page_id != page_id else int(page_id)
@@ -198,7 +198,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "start", "end", "kind", "type", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "reason"]
-        for pdf in batches:
+        for pdf in filled(batches):
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 got = salvage(bytes(content))
                 rows: list[tuple] = []
