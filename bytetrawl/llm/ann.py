@@ -24,6 +24,8 @@ NEAREST, QUERY_EVERY = 20, 20
 SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, BLOCK_ROWS = 20_000, 400, 4096, 2000
 #: A query visits so many cells that they hold this share of the nearest neighbours within the sample, but LEAST_VISITS at least.
 IN_REACH, LEAST_VISITS, TRIAL_QUERIES = 0.97, 8, 400
+#: Cells that a query visits before the others.
+FIRST_CELLS = 4
 #: Standard deviations in the error bound.
 BOUND = 3.0
 
@@ -138,13 +140,13 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST) -> D
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
             x = matrix(pdf["v"], d)
-            best = np.argpartition(-(x @ c.T), visits - 1, axis=1)[:, :visits] if visits < cells else np.tile(np.arange(cells), (len(x), 1))
-            out = pd.DataFrame({"qkey": np.repeat(pdf["key"].to_numpy(), visits), "q": np.repeat(pdf["v"].to_numpy(), visits), "cell": best.reshape(-1).astype(np.int32)})
+            best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :visits]
+            out = pd.DataFrame({"qkey": np.repeat(pdf["key"].to_numpy(), visits), "q": np.repeat(pdf["v"].to_numpy(), visits), "cell": best.reshape(-1).astype(np.int32), "place": np.tile(np.arange(visits, dtype=np.int32), len(x))})
             for at in range(0, len(out), 2000):
                 yield out[at : at + 2000]
 
-    routed = asked.mapInPandas(route, "qkey string, q binary, cell int").join(F.broadcast(blocks), "cell")
-    routed = routed.select("qkey", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    routed = asked.mapInPandas(route, "qkey string, q binary, cell int, place int").join(F.broadcast(blocks), "cell")
+    routed = routed.select("qkey", "q", "cell", "place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def search(index: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         columns = ["qkey", "score", "ids"]
@@ -161,16 +163,26 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST) -> D
             est, err = estimates(bits, length, inner, own, q, turn)
             low, high = est - err, est + err
             m = min(k + 1, len(x))
-            bar = np.partition(low, len(x) - m, axis=1)[:, len(x) - m]
+            known = part["known"].to_numpy()
+            bar = np.maximum(np.partition(low, len(x) - m, axis=1)[:, len(x) - m], known)
             for i, key in enumerate(part["qkey"]):
                 chosen = np.flatnonzero(high[i] >= bar[i])
                 exact = (x[chosen] * q[i]).sum(axis=1)
-                for j in np.lexsort((least[chosen], -exact))[: k + 1]:
-                    out.append((key, float(exact[j]), ids[chosen[j]]))
+                out += [(key, float(exact[j]), ids[chosen[j]]) for j in np.lexsort((least[chosen], -exact))[: k + 1] if exact[j] >= known[i]]
         return pd.DataFrame(out, columns=columns)
 
-    found = index.groupBy("cell", "block").cogroup(routed.groupBy("cell", "block")).applyInPandas(search, "qkey string, score double, ids array<long>")
-    each = found.select("qkey", "score", F.explode("ids").alias("vec_id"))
+    def searched(asks: DataFrame) -> DataFrame:
+        return index.groupBy("cell", "block").cogroup(asks.groupBy("cell", "block")).applyInPandas(search, "qkey string, score double, ids array<long>")
+
+    def exploded(found: DataFrame) -> DataFrame:
+        return found.select("qkey", "score", F.explode("ids").alias("vec_id"))
+
+    # The cells nearest to a query come first; their k + 1 best say what the other cells must reach.
+    near = written(searched(routed.where(F.col("place") < FIRST_CELLS).withColumn("known", F.lit(float("-inf")))), "near")
+    ranked = exploded(near).withColumn("n", F.row_number().over(W.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")))
+    bars = ranked.where(F.col("n") == k + 1).select(F.col("qkey").alias("bar_key"), F.col("score").alias("known"))
+    rest = routed.where(F.col("place") >= FIRST_CELLS).join(bars, F.col("qkey") == F.col("bar_key"), "left").drop("bar_key").fillna(float("-inf"), ["known"])
+    each = exploded(near.unionByName(searched(rest)))
     best = W.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     top = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("top"))
     ask = queries.select("key", F.col("vec_id").alias("query_id")).distinct()
