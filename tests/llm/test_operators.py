@@ -214,14 +214,14 @@ def test_toxicity(spark):
             w[r.randrange(30)] = r.choice(["blorgfax", "krumbad"])
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad), 1))
-    rows += [(1000, "so b-lorg-fax now"), (1001, None), (1002, "k r u m b a d"), (None, "")]
+    rows += [(1000, "so b-lorg-fax now"), (1001, None), (1002, "k r u m b a d"), (1003, "so bloxrgfax now"), (None, "")]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
     got = {g.doc_id: g for g in toxicity.toxicity(docs, labels).collect()}
-    assert len(got) == 404 and all(0 <= g.score <= 1 for g in got.values())
+    assert len(got) == 405 and all(0 <= g.score <= 1 for g in got.values())
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in range(400) if got[i].held_out]) > 0.95
-    assert got[1000].predicted == got[1002].predicted == 1 and got[1001].predicted == 0
+    assert got[1000].predicted == got[1002].predicted == got[1003].predicted == 1 and got[1001].predicted == 0
     assert got[7].held_out == (zlib.crc32(b"7") % 5 == 0)
-    assert toxicity.toxicity(docs, labels.limit(0)).count() == 404
+    assert toxicity.toxicity(docs, labels.limit(0)).count() == 405
 
 
 def test_quality(spark):
