@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import _INVERSE, filled, mix64, powers, prepare, segment_hashes, written
 
-LENGTH, GRAM, COVER, HOT = 200, 64, 32, 256
+LENGTH, GRAM, COVER, HOT = 200, 64, 32, 10_000
 #: Blocks in a bucket, on average.
 BUCKET_BLOCKS = 2000
 #: Bytes whose anchors are found at once; positions there must fit in 24 bits.
