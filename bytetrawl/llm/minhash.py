@@ -4,7 +4,12 @@ Documents with equal shingle sets are one from the start. Each distinct set is p
 Two sets that agree in MATCHES of COORDINATES coordinates agree in one of the first COORDINATES - MATCHES + 1, so only these are
 posted (the prefix); lists of one set are skipped before they are merged. Within a list the coordinates in common are counted, and
 pairs at or above the match threshold are retained, as a spanning forest. The forests' components hold all candidate pairs; in
-them, links are confirmed on full sets. Large lists and components are dealt out as pairs of blocks.
+them, links are confirmed on full sets. Large components are dealt out as pairs of blocks.
+
+Lists of more than a block are first held against one member, their hub. Where half of a list or more is linked with its hub, as
+copies are, those members are linked with each other through it, and only the others are compared, with them and among themselves.
+Any other long list holds texts that share little else. Sets whose sizes differ too much can't be linked, so such a list is dealt
+to bands of sizes, each set to its own band and the next.
 
 The chance that a pair at the similarity threshold misses MATCHES of COORDINATES is below 1 in 100,000, and links that are implied
 by others are not needed.
@@ -13,6 +18,7 @@ by others are not needed.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +34,8 @@ SHINGLE, COORDINATES, MATCHES = 5, 32, 17
 PREFIX = COORDINATES - MATCHES + 1
 #: Links need LEAST * union <= 100 * intersection.
 LEAST = 85
+#: The ratio of sizes that a band spans; a little more than linked sets can have, so that these are in one band or in two next to each other.
+BAND = 100 / (LEAST - 1)
 #: Members of a list or component in a block, until there are MOST_BLOCKS blocks; then blocks grow.
 BLOCK, MOST_BLOCKS = 96, 48
 #: Postings, and shingle sets, that a task takes at once, on average.
@@ -213,6 +221,41 @@ def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def _held_against_hubs(posts: DataFrame, long: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members (post, node, sig, size, hub) of long lists, and whether each agrees with the hub in MATCHES coordinates."""
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in filled(batches):
+            own, hub = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(-1, COORDINATES) for c in ("sig", "hub_sig"))
+            yield pdf.drop(columns="hub_sig").assign(linked=(own == hub).sum(axis=1) >= MATCHES)
+
+    hubs = long.select("post", "hub").join(sets.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    rows = posts.join(hubs, "post").select("post", "node", "sig", "size", "hub", "hub_sig")
+    return written(rows.mapInPandas(held, "post long, node long, sig binary, size long, hub long, linked boolean"), "held")
+
+
+def _long_lists(posts: DataFrame, long: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of lists of more than a block: members by pairs of blocks that are left to compare, and links (a, b) with hubs."""
+    held = _held_against_hubs(posts, long, sets)
+    shapes = held.groupBy("post").agg(F.count("*").alias("all"), F.count_if("linked").alias("near"))
+    copies = held.join(shapes.where("2 * near >= all"), "post")
+    links = copies.where("linked and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    # Linked members are in one block each, with all others of the list.
+    last = (F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("near") / BLOCK)) - 1).cast("int")
+    mixed = copies.where("near < all").withColumn("last", last)
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("last") + 1).cast("int")
+    one = mixed.where("linked").select("node", "sig", "post", block.alias("i"), F.lit(-1).alias("j"), block.alias("block"))
+    two = mixed.where("not linked").select("node", "sig", "post", F.explode(F.sequence(F.lit(0), "last")).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("block"))
+    others = mixed.where("not linked").select("node", "sig", "post")
+    among = in_blocks(others, "post", shapes.where("2 * near >= all and all - near > 1").select("post", (F.col("all") - F.col("near")).alias("n")))
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(BAND))
+    banded = held.join(shapes.where("2 * near < all"), "post").select("node", "sig", "post", F.explode(F.array(band, band + 1)).alias("band"))
+    banded = banded.select("node", "sig", F.xxhash64("post", "band").alias("post"))
+    deeper = in_blocks(banded, "post", banded.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"))
+    columns = ["node", "sig", "post", "i", "j", "block"]
+    return one.unionAll(two).unionAll(among.select(*columns)).unionAll(deeper.select(*columns)), links
+
+
 def _bucketed(blocks: DataFrame, group: str, rows: int, per_bucket: int) -> GroupedData:
     """Pairs of blocks together in buckets of about per_bucket rows, so that small groups share a call."""
     n = max(1, rows // per_bucket)
@@ -230,12 +273,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prepare(spark)
     all_rows = written(sketches(docs), "sketches")
     some = all_rows.where("key is not null and doc_id is not null")
-    sets = written(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("posts").alias("posts")), "sets")
-    posts = sets.select("node", "sig", F.explode("posts").alias("post"))
-    lists = written(posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    sets = written(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("posts").alias("posts"), F.first("n_shingles").alias("size")), "sets")
+    posts = sets.select("node", "sig", "size", F.explode("posts").alias("post"))
+    lists = written(posts.groupBy("post").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "lists")
     posted = lists.agg(F.sum("n")).first()[0] or 0
-    forest = _bucketed(in_blocks(posts, "post", lists), "post", posted, BUCKET_POSTS).applyInPandas(_candidates, "a long, b long")
-    candidates = written(components(forest), "candidates")
+    dealt = in_blocks(posts.select("node", "sig", "post"), "post", lists.where(F.col("n") <= BLOCK).select("post", "n"))
+    left, links = _long_lists(posts, lists.where(F.col("n") > BLOCK), sets)
+    dealt = dealt.select("node", "sig", "post", "i", "j", "block").unionAll(left)
+    forest = _bucketed(dealt, "post", posted, BUCKET_POSTS).applyInPandas(_candidates, "a long, b long")
+    candidates = written(components(forest.unionAll(links)), "candidates")
     sizes = candidates.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n"))
     members = sets.join(candidates.withColumnRenamed("node", "c"), F.col("node") == F.col("c")).select("node", "key", F.col("component").alias("cluster"))
 

@@ -340,6 +340,10 @@ def test_near_duplicates(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET_POSTS", 100)
     df = spark.createDataFrame(many, "doc_id long, text string")
     assert sorted(repr((g.doc_id, g.n_shingles, g.component_id)) for g in minhash.near_duplicates(df).collect()) == plain_groups(many)
+    shared = " ".join(words[:90])  # long lists of texts that share a passage, and copies among them
+    mixed = [(i, shared + " " + invented(random.Random(i % 60), 10 + i % 60 * 2) + (" end" if i > 70 else "")) for i in range(110)]
+    df = spark.createDataFrame(mixed, "doc_id long, text string")
+    assert sorted(repr((g.doc_id, g.n_shingles, g.component_id)) for g in minhash.near_duplicates(df).collect()) == plain_groups(mixed)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
