@@ -1,8 +1,8 @@
 """Near-duplicate documents by an inverted join on MinHash signature coordinates.
 
 Documents with equal shingle sets are one from the start. Each distinct set is posted under (coordinate, value) of its signature.
-Two sets that agree in MATCHES of COORDINATES coordinates agree in one of the first COORDINATES - MATCHES + 1, so only these are
-posted (the prefix); lists of one set are skipped before they are merged. Within a list the coordinates in common are counted, and
+Two sets that agree in some number of COORDINATES coordinates, matches, agree in one of the first COORDINATES - matches + 1, so only
+these are posted (the prefix); lists of one set are skipped before they are merged. Within a list the coordinates in common are counted, and
 pairs at or above the match threshold are retained, as a spanning forest. The forests' components hold all candidate pairs; in
 them, links are confirmed on full sets. Large components are dealt out as pairs of blocks.
 
@@ -11,8 +11,8 @@ copies are, those members are linked with each other through it, and only the ot
 Any other long list holds texts that share little else. Sets whose sizes differ too much can't be linked, so such a list is dealt
 to bands of sizes, each set to its own band and the next.
 
-The chance that a pair at the similarity threshold misses MATCHES of COORDINATES is below 1 in 100,000, and links that are implied
-by others are not needed.
+The similarity threshold is an argument, in percent. The number of matches is derived from it, so that a pair at the threshold
+misses it with a chance below MISSED; links that are implied by others are not needed.
 """
 
 from __future__ import annotations
@@ -30,12 +30,7 @@ from pyspark.sql.group import GroupedData
 from .common import filled, mix64, prepare, segment_hashes, written
 from .graph import components
 
-SHINGLE, COORDINATES, MATCHES = 5, 32, 17
-PREFIX = COORDINATES - MATCHES + 1
-#: Links need LEAST * union <= 100 * intersection.
-LEAST = 85
-#: The ratio of sizes that a band spans; a little more than linked sets can have, so that these are in one band or in two next to each other.
-BAND = 100 / (LEAST - 1)
+SHINGLE, COORDINATES, MISSED = 5, 32, 1e-5
 #: Members of a list or component in a block, until there are MOST_BLOCKS blocks; then blocks grow.
 BLOCK, MOST_BLOCKS = 96, 48
 #: Postings, and shingle sets, that a task takes at once, on average.
@@ -97,7 +92,17 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def matches(least: int) -> int:
+    """The most coordinates that pairs of a similarity of least percent agree in but for a chance below MISSED."""
+    p, missed = least / 100, 0.0
+    for k in range(COORDINATES):
+        missed += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if missed >= MISSED:
+            return max(1, k)
+    return COORDINATES
+
+
+def sketches(docs: DataFrame, prefix: int) -> DataFrame:
     """doc_id, n_shingles, key (hash of the set, null if empty), sig (a byte for each coordinate) and posts (hashes of the prefix's coordinates)."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +112,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if len(s):
                     sig = signature(s)
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    rows.append((len(s), key, mix64(sig).astype(np.uint8).tobytes(), mix64(sig[:PREFIX] + np.arange(1, PREFIX + 1, dtype=np.uint64)).view(np.int64)))
+                    rows.append((len(s), key, mix64(sig).astype(np.uint8).tobytes(), mix64(sig[:prefix] + np.arange(1, prefix + 1, dtype=np.uint64)).view(np.int64)))
                 else:
                     rows.append((0, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "key", "sig", "posts"])
@@ -176,13 +181,13 @@ def _spanning(nodes: np.ndarray, first: np.ndarray, same: bool, near: Callable[[
     return out
 
 
-def candidate_forest(nodes: np.ndarray, sig: np.ndarray, first: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Spanning links among the pairs of two blocks of a list that agree in MATCHES coordinates."""
-    return _spanning(nodes, first, same, lambda x, others: others[(sig[others] == sig[x]).sum(axis=1) >= MATCHES])
+def candidate_forest(nodes: np.ndarray, sig: np.ndarray, first: np.ndarray, same: bool, agree: int) -> list[tuple[int, int]]:
+    """Spanning links among the pairs of two blocks of a list that agree in so many coordinates."""
+    return _spanning(nodes, first, same, lambda x, others: others[(sig[others] == sig[x]).sum(axis=1) >= agree])
 
 
-def confirmed_forest(nodes: np.ndarray, sets: list[np.ndarray], first: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Spanning links among the pairs of two blocks whose full sets are similar enough."""
+def confirmed_forest(nodes: np.ndarray, sets: list[np.ndarray], first: np.ndarray, same: bool, least: int) -> list[tuple[int, int]]:
+    """Spanning links among the pairs of two blocks whose full sets are similar enough: least * union <= 100 * intersection."""
     sizes = np.array([len(s) for s in sets])
     every = np.concatenate(sets)
     who = np.repeat(np.arange(len(sets)), sizes)
@@ -194,7 +199,7 @@ def confirmed_forest(nodes: np.ndarray, sets: list[np.ndarray], first: np.ndarra
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         both = np.bincount(who[at], minlength=len(sets))[others]
-        return others[100 * both >= LEAST * (sizes[x] + sizes[others] - both)]
+        return others[100 * both >= least * (sizes[x] + sizes[others] - both)]
 
     return _spanning(nodes, first, same, near)
 
@@ -207,36 +212,36 @@ def _by_group(pdf: pd.DataFrame, group: str) -> Iterator[tuple[np.ndarray, np.nd
             yield rows, block[rows] == i[rows[0]], bool(i[rows[0]] == j[rows[0]])
 
 
-def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+def _candidates(pdf: pd.DataFrame, agree: int) -> pd.DataFrame:
     node = pdf["node"].to_numpy()
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDINATES)
-    out = {link for rows, first, same in _by_group(pdf, "post") for link in candidate_forest(node[rows], sig[rows], first, same)}
+    out = {link for rows, first, same in _by_group(pdf, "post") for link in candidate_forest(node[rows], sig[rows], first, same, agree)}
     return pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
-def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+def _confirm(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     node = pdf["node"].to_numpy()
     sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
-    out = [link for rows, first, same in _by_group(pdf, "cluster") for link in confirmed_forest(node[rows], [sets[r] for r in rows], first, same)]
+    out = [link for rows, first, same in _by_group(pdf, "cluster") for link in confirmed_forest(node[rows], [sets[r] for r in rows], first, same, least)]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _held_against_hubs(posts: DataFrame, long: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members (post, node, sig, size, hub) of long lists, and whether each agrees with the hub in MATCHES coordinates."""
+def _held_against_hubs(posts: DataFrame, long: DataFrame, sets: DataFrame, agree: int) -> DataFrame:
+    """The members (post, node, sig, size, hub) of long lists, and whether each agrees with the hub in so many coordinates."""
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
             own, hub = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(-1, COORDINATES) for c in ("sig", "hub_sig"))
-            yield pdf.drop(columns="hub_sig").assign(linked=(own == hub).sum(axis=1) >= MATCHES)
+            yield pdf.drop(columns="hub_sig").assign(linked=(own == hub).sum(axis=1) >= agree)
 
     hubs = long.select("post", "hub").join(sets.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     rows = posts.join(hubs, "post").select("post", "node", "sig", "size", "hub", "hub_sig")
     return written(rows.mapInPandas(held, "post long, node long, sig binary, size long, hub long, linked boolean"), "held")
 
 
-def _long_lists(posts: DataFrame, long: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _long_lists(posts: DataFrame, long: DataFrame, sets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Of lists of more than a block: members by pairs of blocks that are left to compare, and links (a, b) with hubs."""
-    held = _held_against_hubs(posts, long, sets)
+    held = _held_against_hubs(posts, long, sets, matches(least))
     shapes = held.groupBy("post").agg(F.count("*").alias("all"), F.count_if("linked").alias("near"))
     copies = held.join(shapes.where("2 * near >= all"), "post")
     links = copies.where("linked and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -248,7 +253,8 @@ def _long_lists(posts: DataFrame, long: DataFrame, sets: DataFrame) -> tuple[Dat
     two = mixed.where("not linked").select("node", "sig", "post", F.explode(F.sequence(F.lit(0), "last")).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("block"))
     others = mixed.where("not linked").select("node", "sig", "post")
     among = in_blocks(others, "post", shapes.where("2 * near >= all and all - near > 1").select("post", (F.col("all") - F.col("near")).alias("n")))
-    band = F.floor(F.log(F.col("size").cast("double")) / math.log(BAND))
+    # A band spans a ratio of sizes a little more than linked sets can have, so that these are in one band or in two next to each other.
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / (least - 1)))
     banded = held.join(shapes.where("2 * near < all"), "post").select("node", "sig", "post", F.explode(F.array(band, band + 1)).alias("band"))
     banded = banded.select("node", "sig", F.xxhash64("post", "band").alias("post"))
     deeper = in_blocks(banded, "post", banded.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"))
@@ -262,8 +268,8 @@ def _bucketed(blocks: DataFrame, group: str, rows: int, per_bucket: int) -> Grou
     return blocks.withColumn("bucket", F.pmod(F.xxhash64(group, "i", "j"), F.lit(n))).groupBy("bucket")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Each row's doc_id, n_shingles, component_id and kept.
+def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
+    """Each row's doc_id, n_shingles, component_id and kept; texts are linked from a similarity of least percent (2 to 100) on.
 
     Null texts and texts without words have no shingles and are linked with nothing. A null doc_id is linked with nothing either:
     its component_id is null and it is kept. Rows with one doc_id are one node. Other columns are left out; an empty table gives
@@ -271,16 +277,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    all_rows = written(sketches(docs), "sketches")
+    agree = matches(least)
+    all_rows = written(sketches(docs, COORDINATES - agree + 1), "sketches")
     some = all_rows.where("key is not null and doc_id is not null")
     sets = written(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("posts").alias("posts"), F.first("n_shingles").alias("size")), "sets")
     posts = sets.select("node", "sig", "size", F.explode("posts").alias("post"))
     lists = written(posts.groupBy("post").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "lists")
     posted = lists.agg(F.sum("n")).first()[0] or 0
     dealt = in_blocks(posts.select("node", "sig", "post"), "post", lists.where(F.col("n") <= BLOCK).select("post", "n"))
-    left, links = _long_lists(posts, lists.where(F.col("n") > BLOCK), sets)
+    left, links = _long_lists(posts, lists.where(F.col("n") > BLOCK), sets, least)
     dealt = dealt.select("node", "sig", "post", "i", "j", "block").unionAll(left)
-    forest = _bucketed(dealt, "post", posted, BUCKET_POSTS).applyInPandas(_candidates, "a long, b long")
+    forest = _bucketed(dealt, "post", posted, BUCKET_POSTS).applyInPandas(lambda pdf: _candidates(pdf, agree), "a long, b long")
     candidates = written(components(forest.unionAll(links)), "candidates")
     sizes = candidates.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n"))
     members = sets.join(candidates.withColumnRenamed("node", "c"), F.col("node") == F.col("c")).select("node", "key", F.col("component").alias("cluster"))
@@ -293,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(members, F.col("doc_id") == F.col("node"))
     with_sets = texts.select("node", "key", "cluster", "text").mapInPandas(full, "node long, cluster long, shingles binary")
-    links = _bucketed(in_blocks(with_sets, "cluster", sizes), "cluster", candidates.count(), BUCKET_SETS).applyInPandas(_confirm, "a long, b long")
+    links = _bucketed(in_blocks(with_sets, "cluster", sizes), "cluster", candidates.count(), BUCKET_SETS).applyInPandas(lambda pdf: _confirm(pdf, least), "a long, b long")
     groups = components(links).withColumnRenamed("node", "g")
     by_set = sets.join(groups, F.col("node") == F.col("g"), "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("set_component"))
     out = all_rows.join(by_set, F.col("key") == F.col("k"), "left")

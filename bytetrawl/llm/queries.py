@@ -39,7 +39,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ from . import crf, decontam, minhash, packing, quality
 from .common import table
 from .queries import word_tokenizer
 
+#: Documents are near-duplicates from this similarity on, in percent of their runs of five words.
+SIMILAR = 80
+
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
@@ -17,7 +20,7 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows without a doc_id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = minhash.near_duplicates(docs, SIMILAR).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     known = docs.where("doc_id is not null")
     if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
         known = known.dropDuplicates(["doc_id"])

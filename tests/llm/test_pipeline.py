@@ -1,10 +1,12 @@
 """The pipeline against its operators' plain meaning."""
 
+import random
 import zlib
 
 import numpy as np
+import pytest
 
-from bytetrawl.llm import quality
+from bytetrawl.llm import minhash, quality, stages
 from bytetrawl.llm.queries import word_tokenizer
 
 
@@ -31,3 +33,32 @@ def test_pipeline(spark, data):
     for p in got.itertuples():
         assert zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], dtype="<u4").tobytes()) == p.ids_crc32
     assert got.groupby("doc_id").length.sum().to_dict() == {k: len(v) for k, v in ids.items()}
+
+
+@pytest.mark.parametrize("block", [96, 8])
+def test_near_duplicate_stage(spark, monkeypatch, block):
+    """One document of each group that links of 0.8 or more make."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(6)
+    docs, sets = [], []
+    for _ in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        for changes in (0, 2, 3, 4, 6):
+            own = list(words)
+            for at in r.sample(range(120), changes):
+                own[at] = f"x{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(own), "s"))
+            sets.append({tuple(own[i : i + 5]) for i in range(116)})
+    up, between = list(range(len(docs))), 0
+    alike = [(b, a, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(docs)) for b in range(a)]
+    for b, a, s in alike:
+        if s >= 0.8:
+            between += s < 0.85
+            up = [up[b] if x == up[a] else x for x in up] if up[b] < up[a] else [up[a] if x == up[b] else x for x in up]
+    assert between >= 15
+    got = stages.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), "").collect()
+    assert sorted(g.doc_id for g in got) == sorted(set(up))
+
+
+def test_matches():
+    assert (minhash.matches(85), minhash.matches(80), minhash.matches(100)) == (17, 15, 32)
