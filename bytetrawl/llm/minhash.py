@@ -63,7 +63,7 @@ def _shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     runs = np.zeros(n, dtype=np.uint64)
     for k in range(SHINGLE):
         c = mix64(np.array([k + 11], dtype=np.uint64))[0] | np.uint64(1)
-        runs[: n - k] += mix64(h[k:] * c)
+        runs[: max(0, n - k)] += mix64(h[k:] * c)
     runs = mix64(runs)
     out = []
     for a, b in zip(first, last, strict=True):

@@ -357,3 +357,12 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: up[x] for x in touched}
+
+
+def test_few_words(spark):
+    for n in range(8):
+        text = " ".join("abcdefgh"[:n])
+        assert [len(s) for s in minhash.shingle_sets([text])] == [max(1, n - 4) if n else 0], n
+        assert minhash.shingle_sets([text, invented(random.Random(1), 9)])[0].tolist() == minhash.shingle_sets([text])[0].tolist()
+    got = minhash.near_duplicates(spark.createDataFrame([(1, "two words")], "doc_id long, text string")).collect()
+    assert [tuple(g) for g in got] == [(1, 1, 1, True)]
