@@ -4,7 +4,7 @@ The pages of a host are merged to a tree of element paths. Each path has the pre
 contents that its pages show there; their entropies, to the base of the number of pages, say how much the branch differs from page
 to page. A branch that many pages of the host show alike has a low importance and is removed from each of them. On top of the
 statistics, elements whose name, class, id or role says that they are menus, footers, adverts and the like are removed, and where
-a page marks its article, only what stands in it is kept. Paragraphs and headings inside an article are never judged by entropy.
+a page marks its article, what stands in it is kept, and nothing else. Nothing inside an article is judged by entropy.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ class _Node:
 
 @dataclass
 class Page:
-    """blocks: (text, noise, main, paths above); nodes: (path, style, content, blocks) of each container that isn't noise or the article itself; has_main: whether the article is marked."""
+    """blocks: (text, noise, main, paths above); nodes: (path, style, content, blocks) of each container that isn't noise, the article or within it; has_main: whether the article is marked."""
 
     blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = field(default_factory=list)
     nodes: list[tuple[int, int, int, int]] = field(default_factory=list)
@@ -86,7 +86,7 @@ def parse(source: str, decode: bool = True) -> Page:
         flush()
         n = stack.pop()
         holds = [h for h, b in zip(hashes[n.text :], page.blocks[n.text :], strict=True) if not b[1]] if n.tag not in _TEXTUAL else []
-        if n.tag not in _TEXTUAL and not (n.main and not stack[-1].main) and not n.noise:
+        if n.tag not in _TEXTUAL and not n.main and not n.noise:
             style = zlib.crc32(" ".join(dict.fromkeys(n.children)).encode())
             page.nodes.append((n.path, style, zlib.crc32(repr(holds).encode()), len(holds)))
 
@@ -161,7 +161,7 @@ def main_text(page: Page, removed: frozenset[int] = frozenset()) -> str:
     """The kept blocks of a page, between blank lines."""
     def keep(block: tuple[str, bool, bool, tuple[int, ...]]) -> bool:
         _, noise, main, above = block
-        return not noise and (main or not page.has_main) and not (removed and not removed.isdisjoint(above))
+        return not noise and (main or not page.has_main and removed.isdisjoint(above))
 
     return "\n\n".join(b[0] for b in page.blocks if keep(b))
 

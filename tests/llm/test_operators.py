@@ -306,6 +306,18 @@ def test_html(spark):
     assert (got[100].text, got[101].text, got[None].text, got[102].text) == ("", "x", "", "plain")
 
 
+def test_article_of_near_copies(spark):
+    """What stands in a marked article stays, in whatever container, and whatever stands around the article."""
+    page = "<body><div class=a><article><p>start {0}<p>then {0}<p>more {0}<ul><li>one<li>two</ul><table><tr><td>cell</table></article></div><div class=b>{1}</div></body>"
+    around = "<body><div class=a><article><p>all alike</article></div>{1}</body>"
+    blocks = lambda i: "".join(f"<p>own {i} {k}" for k in range(8))
+    rows = [(i, f"http://h.org/{i}", page.format(i, "")) for i in range(5)] + [(10 + i, f"http://k.org/{i}", around.format(i, blocks(i))) for i in range(5)]
+    got = {g.page_id: g.text for g in html_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i].split("\n\n") == [f"start {i}", f"then {i}", f"more {i}", "one", "two", "cell"]
+        assert got[10 + i] == "all alike"
+
+
 # -- near-duplicates
 
 
