@@ -17,12 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, prepare
+from .common import filled, prepare, written
+from .minhash import near_duplicates
 
 LAMBDA, SPAN, SYMBOLS, PIECE = 0.7, 6, 64, 24
 #: At most so many labelled rows of each class are learnt from.
 SAMPLE_ROWS = 1500
 LANDMARKS = 160
+#: Texts of one class from this similarity on, in percent, are copies that count as one text.
+COPIES = 80
+#: A toxic word's share of the toxic texts is at least so many times its share of the clean ones.
+RATIO = 20
 
 _STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?[]^_`{|}~¡¿«»“”’"
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w){2,}(?!\w)")
@@ -169,8 +174,12 @@ def _with_insertion(word: str, rng: np.random.Generator) -> str:
     return word[:at] + chr(97 + int(rng.integers(26))) + word[at:]
 
 
-def fit_words(counts: pd.DataFrame, n_toxic: int) -> tuple[np.ndarray, float]:
-    """The weight of each subsequence and the bias, from words with the numbers of toxic and clean texts that hold them."""
+def fit_words(counts: pd.DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, float]:
+    """The weight of each subsequence and the bias, from words with the numbers of toxic and clean texts that hold them, and the numbers of all such texts."""
+
+    def toxic(c: list[int]) -> bool:
+        return c[0] > 0 and c[0] * n_clean >= RATIO * c[1] * n_toxic
+
     by: dict[str, list[int]] = {}
     for w, a, b in zip(counts["word"], counts["n_toxic"], counts["n_clean"], strict=True):
         for p in folded(w):
@@ -186,14 +195,14 @@ def fit_words(counts: pd.DataFrame, n_toxic: int) -> tuple[np.ndarray, float]:
             c[1] += b
     least = max(3, n_toxic // 100)
     words = sorted(by)
-    strength = np.array([max((grams[w[i : i + 4]][0] for i in range(max(1, len(w) - 3)) if not grams[w[i : i + 4]][1]), default=0) if not by[w][1] else 0 for w in words])
+    strength = np.array([max((grams[w[i : i + 4]][0] for i in range(max(1, len(w) - 3)) if toxic(grams[w[i : i + 4]])), default=0) if toxic(by[w]) else 0 for w in words])
     rng = np.random.default_rng(5)
     good = np.flatnonzero(strength >= least)
     weights, bias = np.zeros(SYMBOLS**3), -1.0
     if not len(good):
         return weights, bias
     for _ in range(2):
-        clean = np.array([i for i, w in enumerate(words) if by[w][1]])
+        clean = np.array([i for i, w in enumerate(words) if not toxic(by[w])], dtype=int)
         bad = rng.permutation(clean)[:6000] if len(clean) else clean
         good = good[np.argsort(-np.array([by[words[i]][0] for i in good]), kind="stable")][:1500]
         marks = [words[i] for i in [*good[: LANDMARKS // 2], *bad[: LANDMARKS // 2]]]
@@ -210,12 +219,19 @@ def fit_words(counts: pd.DataFrame, n_toxic: int) -> tuple[np.ndarray, float]:
         r, f, w = subsequences(marks)
         weights = np.bincount(f, alpha[r] * w, minlength=SYMBOLS**3)
         own = Scorer(weights, bias, np.zeros(3)).margins(words)
-        good = np.array([i for i in range(len(words)) if own[i] > 0 and not by[words[i]][1]], dtype=int)
+        good = np.array([i for i in range(len(words)) if own[i] > 0 and toxic(by[words[i]])], dtype=int)
         if not len(good):
             break
     return weights, bias
 
 
+def without_copies(texts: DataFrame) -> DataFrame:
+    """text and toxic of one row of each group of copies and near copies in a class; copies would pass for evidence from many texts."""
+    rows = written(texts.select(F.xxhash64("doc_id", "text").alias("row"), "text", "toxic"), "sample")
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), COPIES).select(F.col("doc_id").alias("r"), "component_id").distinct()
+    return written(rows.join(groups, F.col("row") == F.col("r")).groupBy("component_id", "toxic").agg(F.min_by("text", "row").alias("text")).select("text", "toxic"), "distinct")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from labelled rows outside the held-out fold, at most SAMPLE_ROWS of each class, chosen by a hash of doc_id."""
     lab = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -225,10 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     if not chosen:
         return Scorer(np.zeros(SYMBOLS**3), -1.0, np.array([0.0, 0.0, -3.0]))
     sample = spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    # Copies and near copies would pass for evidence from many texts: one row of each least hash of a long word stays.
-    long_words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 8)
-    texts = texts.withColumn("alike", F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))).dropDuplicates(["alike", "toxic"]).drop("alike")
+    texts = without_copies(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null"))
+    left = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
@@ -236,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
             yield pd.DataFrame(rows, columns=["word", "t", "c"]).groupby("word", as_index=False).sum() if rows else pd.DataFrame(rows, columns=["word", "t", "c"])
 
     counts = texts.mapInPandas(words, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("n_toxic"), F.sum("c").alias("n_clean")).toPandas()
-    weights, bias = fit_words(counts, sum(chosen.values()))
+    weights, bias = fit_words(counts, left.get(1, 0), left.get(0, 0))
     scorer = Scorer(weights, bias, np.zeros(3))
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from bytetrawl.llm import ann, crf, decontam, graph, html_tree, minhash, packing, quality, suffix, toxicity, warc
@@ -224,6 +225,18 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == 405
 
 
+def test_toxicity_sample(spark):
+    """Only copies within a class count once; a word's few clean texts don't hide it."""
+    r = random.Random(9)
+    texts = [invented(r, 40) + " acommonlongword" for _ in range(30)]
+    rows = [(i, f"{t} onemorelongword", i % 2) for i, t in enumerate(texts)] + [(100 + i, f"{texts[i]} onemorelongword", i % 2) for i in range(10)] + [(200, f"{texts[0]} onemorelongword", 1), (201, f"{texts[0]} onemorelongword", 1)]
+    got = toxicity.without_copies(spark.createDataFrame(rows, "doc_id long, text string, toxic int")).collect()
+    assert sorted((g.text, g.toxic) for g in got) == sorted({(t, y) for _, t, y in rows})
+    counts = pd.DataFrame([(invented(r, 1) + str(i), 1, 4) for i in range(300)] + [("blorgfax", 30, 1)], columns=["word", "n_toxic", "n_clean"])
+    margins = toxicity.Scorer(*toxicity.fit_words(counts, 100, 400), np.zeros(3)).margins(["blorgfax", "banana"])
+    assert margins[0] > 0 > margins[1]
+
+
 def test_quality(spark):
     r = random.Random(4)
     rows = [(i, invented(r, 60) if i % 5 else " ".join(w + "%%%" for w in invented(r, 60).split()), "en", f"s{i % 7}", 300, "x") for i in range(500)] + [(None, None, None, None, None, None)]
