@@ -1,40 +1,37 @@
 """Near-duplicate documents by an inverted join on MinHash signature coordinates.
 
-Documents with equal shingle sets are one from the start. Each distinct set is posted under (coordinate, value) of its signature.
-Two sets that agree in some number of COORDINATES coordinates, matches, agree in one of the first COORDINATES - matches + 1, so only
-these are posted (the prefix); lists of one set are skipped before they are merged. Within a list the coordinates in common are counted, and
-pairs at or above the match threshold are retained, as a spanning forest. The forests' components hold all candidate pairs; in
-them, links are confirmed on full sets. Large components are dealt out as pairs of blocks.
-
-Lists of more than a block are first held against one member, their hub. Where half of a list or more is linked with its hub, as
-copies are, those members are linked with each other through it, and only the others are compared, with them and among themselves.
-Any other long list holds texts that share little else. Sets whose sizes differ too much can't be linked, so such a list is dealt
-to bands of sizes, each set to its own band and the next.
-
-The similarity threshold is an argument, in percent. The number of matches is derived from it, so that a pair at the threshold
-misses it with a chance below MISSED; links that are implied by others are not needed.
+Documents with equal shingle sets are one from the start. Each distinct set has a token for each (coordinate, value) of its
+signature. Two sets that agree in at least k of COORDINATES coordinates share one of their COORDINATES - k + 1 rarest tokens, so only
+these are posted (the prefix); tokens that a single set has make no list, and very frequent ones come last and are mostly skipped.
+
+Members of a list are links' candidates. In each round every list is held against one of its members, its hub: pairs that agree in
+k coordinates are confirmed on full sets, and confirmed ones merge components. A list whose members are in one component is
+done. What is left after ROUNDS is compared exactly, in blocks: members outside of a list's largest component with each other and with
+that component. Members of one component are never compared, so a group of copies costs a row for each member and round.
+
+The similarity threshold is an argument, in percent. k is derived from it, so that a pair at the threshold has fewer matches with a
+chance below MISSED.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.group import GroupedData
 
 from .common import filled, mix64, prepare, segment_hashes, written
 from .graph import components
 
-SHINGLE, COORDINATES, MISSED = 5, 32, 1e-5
-#: Members of a list or component in a block, until there are MOST_BLOCKS blocks; then blocks grow.
-BLOCK, MOST_BLOCKS = 96, 48
-#: Postings, and shingle sets, that a task takes at once, on average.
-BUCKET_POSTS, BUCKET_SETS = 4000, 400
+SHINGLE, COORDINATES, MISSED = 5, 32, 1e-11
+#: Rounds of hubs before what is left of the lists is compared in blocks.
+ROUNDS = 3
+#: Sets in a block, and rows that a task takes at once, on average.
+BLOCK, BUCKET_ROWS = 256, 1000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -102,207 +99,215 @@ def matches(least: int) -> int:
     return COORDINATES
 
 
-def sketches(docs: DataFrame, prefix: int) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the set, null if empty), sig (a byte for each coordinate) and posts (hashes of the prefix's coordinates)."""
+_WORDS = [f"s{i}" for i in range(COORDINATES // 8)]
+
+
+def _sets_of(texts: pd.Series) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """The shingle sets of texts, and a key of each that isn't empty."""
+    sets = shingle_sets(list(texts))
+    return sets, [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, key (hash of the set, null if empty), s0 to s3 (a byte for each coordinate) and tokens (a hash for each)."""
+    position = np.arange(1, COORDINATES + 1, dtype=np.uint64)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
             rows = []
-            for s in shingle_sets(list(pdf["text"])):
-                if len(s):
+            sets, keys = _sets_of(pdf["text"])
+            for s, key in zip(sets, keys, strict=True):
+                if key is not None:
                     sig = signature(s)
-                    key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    rows.append((len(s), key, mix64(sig).astype(np.uint8).tobytes(), mix64(sig[:prefix] + np.arange(1, prefix + 1, dtype=np.uint64)).view(np.int64)))
+                    rows.append((len(s), key, *mix64(sig).astype(np.uint8).view(np.int64).tolist(), mix64(sig + position * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)))
                 else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "key", "sig", "posts"])
+                    rows.append((0, None, *[0] * len(_WORDS), None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "key", *_WORDS, "tokens"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, key binary, sig binary, posts array<long>")
+    return docs.select("doc_id", "text").mapInPandas(sketch, f"doc_id long, n_shingles long, key binary, {', '.join(f'{w} long' for w in _WORDS)}, tokens array<long>")
 
 
-def in_blocks(members: DataFrame, group: str, size: DataFrame) -> DataFrame:
-    """members with i and j: each pair of blocks of its group that it is in, and side (0: the first block, 1: the second).
+def _agreement(one: str, two: str) -> Column:
+    """The number of coordinates that two rows' signatures agree in; one and two are prefixes of their columns."""
+    total = F.lit(COORDINATES)
+    for w in _WORDS:
+        x = F.col(f"{one}{w}").bitwiseXOR(F.col(f"{two}{w}"))
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        total = total - F.bit_count(x)
+    return total
 
-    size: (group, n) of each group. Blocks are by a hash of the column node.
-    """
-    m = members.join(size, group)
-    n = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / BLOCK)).cast("int")
-    m = m.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    m = m.select(*members.columns, "own", "blocks", other)
-    return m.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("block"))
 
+def _prefixes(sets: DataFrame, k: int) -> DataFrame:
+    """(post, key): each set under the tokens of its prefix that other sets have too."""
+    tokens = sets.select("key", F.explode("tokens").alias("post"))
+    shared = tokens.groupBy("post").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("post", "p")
+    ranked = tokens.join(shared, F.col("post") == F.col("p")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("own"))
+    # Tokens that no other set has are the rarest and take their places in the prefix.
+    places = F.lit(COORDINATES - k + 1) - (F.lit(COORDINATES) - F.size("own"))
+    return ranked.where(places > 0).select("key", F.explode(F.slice("own.post", F.lit(1), F.greatest(places, F.lit(1)))).alias("post"))
 
-class _Forest:
-    """Disjoint sets of a task's members."""
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+def _similar(least: int) -> Column:
+    """Whether the sets in columns one and two are similar enough: least * union <= 100 * intersection."""
+    both = F.size(F.array_intersect("one", "two"))
+    return F.lit(100) * both >= F.lit(least) * (F.size("one") + F.size("two") - both)
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+def _confirmed(pairs: DataFrame, full: DataFrame, least: int) -> DataFrame:
+    """The links (a, b) among pairs (a, b), by their full sets."""
+    small, large = F.least(F.col("n1"), F.col("n2")), F.greatest(F.col("n1"), F.col("n2"))
+    one = full.select(F.col("key").alias("k1"), F.col("shingles").alias("one"), F.size("shingles").alias("n1"))
+    two = full.select(F.col("key").alias("k2"), F.col("shingles").alias("two"), F.size("shingles").alias("n2"))
+    both = pairs.join(one, F.col("b") == F.col("k1")).join(two, (F.col("a") == F.col("k2")) & (F.lit(100) * small >= F.lit(least) * large))
+    return both.where(_similar(least)).select("a", "b")
 
 
-def _spanning(nodes: np.ndarray, first: np.ndarray, same: bool, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Spanning links between two blocks, or within one. near: which of some members are linked with a member.
+def _by_component(posts: DataFrame, links: DataFrame | None) -> DataFrame:
+    """posts with the component of each key in the graph of links."""
+    if links is None:
+        return posts.withColumn("component", F.col("key"))
+    found = components(links).withColumnRenamed("node", "k")
+    return posts.join(found, F.col("key") == F.col("k"), "left").drop("k").withColumn("component", F.coalesce("component", "key"))
 
-    Links within either of two blocks are known from the blocks' own tasks: they are followed here, and left out.
-    """
-    forest, out, apart = _Forest(len(nodes)), [], len(nodes) - 1
-
-    def link(left: np.ndarray, right: np.ndarray, keep: bool) -> None:
-        nonlocal apart
-        for x in left:
-            if not apart:
-                return
-            for y in near(int(x), right):
-                if forest.join(int(x), int(y)):
-                    apart -= 1
-                    if keep and nodes[x] != nodes[y]:
-                        out.append((int(nodes[x]), int(nodes[y])))
-
-    one, two = np.flatnonzero(first), np.flatnonzero(~first)
-    link(one, one, same)
-    if not same and len(one) and len(two):
-        link(two, two, False)
-        link(one, two, True)
-    return out
 
+def _held_against_hubs(posts: DataFrame, turn: int, k: int) -> DataFrame:
+    """Distinct pairs (a: hub, b) of lists' members with their list's hub, if in another component and agreeing in k coordinates."""
+    member = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "component", *_WORDS)
+    hubs = posts.groupBy(F.col("post").alias("p")).agg(F.min(member).alias("hub")).select("p", F.col("hub.key").alias("a"), F.col("hub.component").alias("c"), *[F.col(f"hub.{w}").alias(f"hub_{w}") for w in _WORDS])
+    near = (F.col("post") == F.col("p")) & (F.col("component") != F.col("c")) & (_agreement("", "hub_") >= k)
+    return posts.join(hubs, near).select("a", F.col("key").alias("b")).distinct()
 
-def candidate_forest(nodes: np.ndarray, sig: np.ndarray, first: np.ndarray, same: bool, agree: int) -> list[tuple[int, int]]:
-    """Spanning links among the pairs of two blocks of a list that agree in so many coordinates."""
-    return _spanning(nodes, first, same, lambda x, others: others[(sig[others] == sig[x]).sum(axis=1) >= agree])
 
+def _in_blocks(posts: DataFrame) -> DataFrame:
+    """posts with i and j: the pairs of blocks of its list that a member is in, and its own block.
+
+    Members outside of a list's largest component are in blocks 0, 1, ..., those in it in blocks -1, -2, ...; pairs of two of the
+    latter are left out.
+    """
+    parts = posts.groupBy("post", "component").agg(F.count("*").alias("n"))
+    most = parts.groupBy(F.col("post").alias("p")).agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"))
+    most = most.select("p", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("outer"))
+    within = F.col("component") == F.col("main")
+    turn = F.xxhash64("key", F.lit(-1))
+    own = F.when(within, -1 - F.pmod(turn, F.col("inner"))).otherwise(F.pmod(turn, F.greatest(F.col("outer"), F.lit(1)))).cast("int")
+    first = F.when(within, F.lit(0)).otherwise(-F.col("inner"))
+    rows = posts.join(most, F.col("post") == F.col("p")).withColumn("block", own).withColumn("other", F.explode(F.sequence(first, F.col("outer") - 1)))
+    return rows.select("post", "key", "component", *_WORDS, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def block_links(keys: np.ndarray, component: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, k: int, least: int) -> list[tuple]:
+    """Links (a, b) between members of first and of second that are in different components, as a spanning forest of these."""
+    up: dict = {}
+
+    def root(x: object) -> object:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
 
-def confirmed_forest(nodes: np.ndarray, sets: list[np.ndarray], first: np.ndarray, same: bool, least: int) -> list[tuple[int, int]]:
-    """Spanning links among the pairs of two blocks whose full sets are similar enough: least * union <= 100 * intersection."""
     sizes = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    who = np.repeat(np.arange(len(sets)), sizes)
+    every = np.concatenate([sets[y] for y in second])
+    who = np.repeat(second, sizes[second])
     order = np.argsort(every, kind="stable")
     every, who = every[order], who[order]
-
-    def near(x: int, others: np.ndarray) -> np.ndarray:
+    out = []
+    for x in first:
+        near = second[((sig[second] == sig[x]).sum(axis=1) >= k) & (100 * np.minimum(sizes[second], sizes[x]) >= least * np.maximum(sizes[second], sizes[x]))]
+        near = [y for y in near if root(component[y]) != root(component[x])]
+        if not near:
+            continue
         lo, hi = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(who[at], minlength=len(sets))[others]
-        return others[100 * both >= least * (sizes[x] + sizes[others] - both)]
-
-    return _spanning(nodes, first, same, near)
-
-
-def _by_group(pdf: pd.DataFrame, group: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Of each group and pair of blocks in a bucket: its rows, which of them are in the first block, and whether both blocks are one."""
-    i, j, block = (pdf[c].to_numpy() for c in ("i", "j", "block"))
-    for rows in pdf.groupby([group, "i", "j"], sort=False).indices.values():
-        if len(rows) > 1:
-            yield rows, block[rows] == i[rows[0]], bool(i[rows[0]] == j[rows[0]])
+        both = np.bincount(who[at], minlength=len(sets))
+        for y in near:
+            if 100 * both[y] >= least * (sizes[x] + sizes[y] - both[y]) and root(component[y]) != root(component[x]):
+                up[root(component[y])] = root(component[x])
+                out.append((keys[x], keys[y]))
+    return out
 
 
-def _candidates(pdf: pd.DataFrame, agree: int) -> pd.DataFrame:
-    node = pdf["node"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDINATES)
-    out = {link for rows, first, same in _by_group(pdf, "post") for link in candidate_forest(node[rows], sig[rows], first, same, agree)}
+def _compared(pdf: pd.DataFrame, k: int, least: int) -> pd.DataFrame:
+    """The links that block_links finds in each pair of blocks of a bucket."""
+    keys = np.array([bytes(x) for x in pdf["key"]], dtype=object)
+    component = np.array([bytes(x) for x in pdf["component"]], dtype=object)
+    sig = pdf[_WORDS].to_numpy(dtype=np.int64).copy().view(np.uint8)
+    sets = [np.sort(np.asarray(x, dtype=np.int64)) for x in pdf["shingles"]]
+    block, i, j = (pdf[c].to_numpy() for c in ("block", "i", "j"))
+    out: set[tuple] = set()
+    for rows in pdf.groupby(["post", "i", "j"], sort=False).indices.values():
+        first, second = rows[block[rows] == j[rows]], rows[block[rows] == i[rows]]
+        if len(first) and len(second):
+            out.update(block_links(keys, component, sig, sets, first, second, k, least))
     return pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
-def _confirm(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    node = pdf["node"].to_numpy()
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
-    out = [link for rows, first, same in _by_group(pdf, "cluster") for link in confirmed_forest(node[rows], [sets[r] for r in rows], first, same, least)]
-    return pd.DataFrame(out, columns=["a", "b"])
+def set_links(sets: DataFrame, texts: DataFrame, least: int) -> DataFrame | None:
+    """Links (a, b) of the keys of sets whose graph has the components of all pairs that are similar enough; None if there are none.
 
+    texts: (key, text) of documents, one of each set at least; texts of other sets are left out.
+    """
+    k = matches(least)
+    signatures = sets.select(F.col("key").alias("k"), *_WORDS)
+    posts = _prefixes(sets, k)
+    posts = written(posts.join(signatures, F.col("key") == F.col("k")).drop("k"), "posts")
+    wanted = posts.select(F.col("key").alias("k")).distinct()
 
-def _held_against_hubs(posts: DataFrame, long: DataFrame, sets: DataFrame, agree: int) -> DataFrame:
-    """The members (post, node, sig, size, hub) of long lists, and whether each agrees with the hub in so many coordinates."""
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
-            own, hub = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(-1, COORDINATES) for c in ("sig", "hub_sig"))
-            yield pdf.drop(columns="hub_sig").assign(linked=(own == hub).sum(axis=1) >= agree)
-
-    hubs = long.select("post", "hub").join(sets.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    rows = posts.join(hubs, "post").select("post", "node", "sig", "size", "hub", "hub_sig")
-    return written(rows.mapInPandas(held, "post long, node long, sig binary, size long, hub long, linked boolean"), "held")
-
-
-def _long_lists(posts: DataFrame, long: DataFrame, sets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Of lists of more than a block: members by pairs of blocks that are left to compare, and links (a, b) with hubs."""
-    held = _held_against_hubs(posts, long, sets, matches(least))
-    shapes = held.groupBy("post").agg(F.count("*").alias("all"), F.count_if("linked").alias("near"))
-    copies = held.join(shapes.where("2 * near >= all"), "post")
-    links = copies.where("linked and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    # Linked members are in one block each, with all others of the list.
-    last = (F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("near") / BLOCK)) - 1).cast("int")
-    mixed = copies.where("near < all").withColumn("last", last)
-    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("last") + 1).cast("int")
-    one = mixed.where("linked").select("node", "sig", "post", block.alias("i"), F.lit(-1).alias("j"), block.alias("block"))
-    two = mixed.where("not linked").select("node", "sig", "post", F.explode(F.sequence(F.lit(0), "last")).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("block"))
-    others = mixed.where("not linked").select("node", "sig", "post")
-    among = in_blocks(others, "post", shapes.where("2 * near >= all and all - near > 1").select("post", (F.col("all") - F.col("near")).alias("n")))
-    # A band spans a ratio of sizes a little more than linked sets can have, so that these are in one band or in two next to each other.
-    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / (least - 1)))
-    banded = held.join(shapes.where("2 * near < all"), "post").select("node", "sig", "post", F.explode(F.array(band, band + 1)).alias("band"))
-    banded = banded.select("node", "sig", F.xxhash64("post", "band").alias("post"))
-    deeper = in_blocks(banded, "post", banded.groupBy("post").agg(F.count("*").alias("n")).where("n > 1"))
-    columns = ["node", "sig", "post", "i", "j", "block"]
-    return one.unionAll(two).unionAll(among.select(*columns)).unionAll(deeper.select(*columns)), links
-
-
-def _bucketed(blocks: DataFrame, group: str, rows: int, per_bucket: int) -> GroupedData:
-    """Pairs of blocks together in buckets of about per_bucket rows, so that small groups share a call."""
-    n = max(1, rows // per_bucket)
-    return blocks.withColumn("bucket", F.pmod(F.xxhash64(group, "i", "j"), F.lit(n))).groupBy("bucket")
+            sets, got = _sets_of(pdf["text"])
+            own = np.array([k == bytes(w) for k, w in zip(got, pdf["key"], strict=True)])  # an id can have other texts
+            yield pd.DataFrame({"key": pdf["key"], "shingles": [s.view(np.int64) for s in sets]})[own]
+
+    full_sets = written(texts.join(wanted, F.col("key") == F.col("k"), "left_semi").mapInPandas(full, "key binary, shingles array<long>"), "full")
+    if full_sets.count() > wanted.count():  # repeated rows
+        full_sets = written(full_sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "full")
+    links = None
+    live = posts.withColumn("component", F.col("key"))
+    for turn in range(ROUNDS + 1):
+        sizes = live.groupBy(F.col("post").alias("p")).agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        # A list of two is done when its one pair was held against each other.
+        open_lists = sizes.where("c0 <> c1" if not turn else "c0 <> c1 and n > 2").select("p")
+        live = written(live.join(open_lists, F.col("post") == F.col("p"), "left_semi"), "live")
+        if live.isEmpty():
+            return links
+        if turn == ROUNDS:
+            break
+        new = written(_confirmed(_held_against_hubs(live, turn, k), full_sets, least), "links")
+        links = new if links is None else links.unionAll(new)
+        live = _by_component(live.drop("component"), links)
+    dealt = _in_blocks(live)
+    buckets = max(1, live.count() // BUCKET_ROWS)
+    dealt = dealt.join(full_sets.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
+    last = dealt.withColumn("bucket", F.pmod(F.xxhash64("post", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: _compared(pdf, k, least), "a binary, b binary")
+    return links.unionAll(last)
 
 
 def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
     """Each row's doc_id, n_shingles, component_id and kept; texts are linked from a similarity of least percent (2 to 100) on.
 
-    Null texts and texts without words have no shingles and are linked with nothing. A null doc_id is linked with nothing either:
-    its component_id is null and it is kept. Rows with one doc_id are one node. Other columns are left out; an empty table gives
-    an empty table.
+    Null texts and texts without words have no shingles and are linked with nothing: each is its own component. A null doc_id is
+    linked with nothing either: its component_id is null and it is kept. Of tied (equal) texts and repeated rows the smallest doc_id
+    is kept; rows with one doc_id and different texts are judged one by one. Texts of any length are read whole. Other columns are
+    left out, and may have any name; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    agree = matches(least)
-    all_rows = written(sketches(docs, COORDINATES - agree + 1), "sketches")
+    prepare(docs.sparkSession)
+    all_rows = written(sketches(docs), "sketches")
     some = all_rows.where("key is not null and doc_id is not null")
-    sets = written(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("posts").alias("posts"), F.first("n_shingles").alias("size")), "sets")
-    posts = sets.select("node", "sig", "size", F.explode("posts").alias("post"))
-    lists = written(posts.groupBy("post").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "lists")
-    posted = lists.agg(F.sum("n")).first()[0] or 0
-    dealt = in_blocks(posts.select("node", "sig", "post"), "post", lists.where(F.col("n") <= BLOCK).select("post", "n"))
-    left, links = _long_lists(posts, lists.where(F.col("n") > BLOCK), sets, least)
-    dealt = dealt.select("node", "sig", "post", "i", "j", "block").unionAll(left)
-    forest = _bucketed(dealt, "post", posted, BUCKET_POSTS).applyInPandas(lambda pdf: _candidates(pdf, agree), "a long, b long")
-    candidates = written(components(forest.unionAll(links)), "candidates")
-    sizes = candidates.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n"))
-    members = sets.join(candidates.withColumnRenamed("node", "c"), F.col("node") == F.col("c")).select("node", "key", F.col("component").alias("cluster"))
-
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in filled(batches):
-            got = shingle_sets(list(pdf["text"]))
-            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(k) for s, k in zip(got, pdf["key"], strict=True)]
-            yield pd.DataFrame({"node": pdf["node"], "cluster": pdf["cluster"], "shingles": [s.tobytes() for s in got]})[same]
-
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(members, F.col("doc_id") == F.col("node"))
-    with_sets = texts.select("node", "key", "cluster", "text").mapInPandas(full, "node long, cluster long, shingles binary")
-    links = _bucketed(in_blocks(with_sets, "cluster", sizes), "cluster", candidates.count(), BUCKET_SETS).applyInPandas(lambda pdf: _confirm(pdf, least), "a long, b long")
-    groups = components(links).withColumnRenamed("node", "g")
-    by_set = sets.join(groups, F.col("node") == F.col("g"), "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("set_component"))
+    first = [F.first(c).alias(c) for c in (*_WORDS, "tokens")]
+    sets = written(some.groupBy("key").agg(F.min("doc_id").alias("least_id"), *first), "sets")
+    one_of = sets.select("key", F.col("least_id").alias("id"))
+
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(one_of, F.col("doc_id") == F.col("id"))
+    links = set_links(sets, texts.select("key", "text"), least)
+    by_set = sets.select(F.col("key").alias("k"), F.col("least_id").alias("set_component"))
+    if links is not None:
+        found = written(components(links).join(by_set, F.col("node") == F.col("k")).select("k", "component", "set_component"), "components")
+        named = found.groupBy(F.col("component").alias("c")).agg(F.min("set_component").alias("least_id"))
+        found = found.join(named, F.col("component") == F.col("c")).select("k", "least_id")
+        by_set = by_set.join(found, "k", "left").select("k", F.coalesce("least_id", "set_component").alias("set_component"))
     out = all_rows.join(by_set, F.col("key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("set_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

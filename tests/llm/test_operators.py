@@ -362,7 +362,7 @@ def test_near_duplicates(spark, docs, texts, monkeypatch):
     words = invented(r, 150).split()
     many = [(i, " ".join(w if r.random() > 0.012 else "q" + str(r.randint(0, 5)) for w in words)) for i in range(150)]
     monkeypatch.setattr(minhash, "BLOCK", 16)
-    monkeypatch.setattr(minhash, "BUCKET_POSTS", 100)
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", 100)
     df = spark.createDataFrame(many, "doc_id long, text string")
     assert sorted(repr((g.doc_id, g.n_shingles, g.component_id)) for g in minhash.near_duplicates(df).collect()) == plain_groups(many)
     shared = " ".join(words[:90])  # long lists of texts that share a passage, and copies among them

@@ -61,4 +61,4 @@ def test_near_duplicate_stage(spark, monkeypatch, block):
 
 
 def test_matches():
-    assert (minhash.matches(85), minhash.matches(80), minhash.matches(100)) == (17, 15, 32)
+    assert (minhash.matches(85), minhash.matches(80), minhash.matches(100)) == (10, 8, 32)
