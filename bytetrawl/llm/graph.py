@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node that can be reached.
 
     Each round links a node's larger neighbours to its smallest one (large star), then its smaller ones (small star). The smallest
@@ -16,7 +16,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -27,7 +27,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("the components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,7 +4,8 @@ Documents with equal shingle sets are one from the start. Each distinct set has
 signature. Two sets that agree in at least k of COORDINATES coordinates share one of their COORDINATES - k + 1 rarest tokens, so only
 these are posted (the prefix); tokens that a single set has make no list, and very frequent ones come last and are mostly skipped.
 
-Members of a list are links' candidates. In each round every list is held against one of its members, its hub: pairs that agree in
+Members of a list are links' candidates. Shingles that no other posted set has can't be in an intersection, so sets with too many of them
+are dropped, and pairs are bounded by what is left. In each round every list is held against one of its members, its hub: pairs that agree in
 k coordinates are confirmed on full sets, and confirmed ones merge components. A list whose members are in one component is
 done. What is left after ROUNDS is compared exactly, in blocks: members outside of a list's largest component with each other and with
 that component. Members of one component are never compared, so a group of copies costs a row for each member and round.
@@ -29,7 +30,7 @@ from .graph import components
 
 SHINGLE, COORDINATES, MISSED = 5, 32, 1e-11
 #: Rounds of hubs before what is left of the lists is compared in blocks.
-ROUNDS = 3
+ROUNDS = 2
 #: Sets in a block, and rows that a task takes at once, on average.
 BLOCK, BUCKET_ROWS = 256, 1000
 
@@ -141,13 +142,42 @@ def _agreement(one: str, two: str) -> Column:
 
 
 def _prefixes(sets: DataFrame, k: int) -> DataFrame:
-    """(post, key): each set under the tokens of its prefix that other sets have too."""
+    """(key, post, weight): each set under the tokens of its prefix that other sets have too; weight: how often its tokens occur."""
     tokens = sets.select("key", F.explode("tokens").alias("post"))
     shared = tokens.groupBy("post").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("post", "p")
-    ranked = tokens.join(shared, F.col("post") == F.col("p")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("own"))
+    ranked = tokens.join(shared, F.col("post") == F.col("p")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("own"), F.sum("n").alias("weight"))
     # Tokens that no other set has are the rarest and take their places in the prefix.
     places = F.lit(COORDINATES - k + 1) - (F.lit(COORDINATES) - F.size("own"))
-    return ranked.where(places > 0).select("key", F.explode(F.slice("own.post", F.lit(1), F.greatest(places, F.lit(1)))).alias("post"))
+    return ranked.where(places > 0).select("key", "weight", F.explode(F.slice("own.post", F.lit(1), F.greatest(places, F.lit(1)))).alias("post"))
+
+
+def _open_lists(posts: DataFrame, turn: int, least: int) -> DataFrame:
+    """The rows of lists with members of more than one component that can still be linked; a list of two is done when its one pair was held against each other."""
+    smallest = posts.groupBy(F.col("post").alias("p")).agg(F.min("size").alias("smallest"))
+    partner = F.greatest("smallest", F.ceil(F.lit(least) * F.col("size") / 100))
+    posts = posts.join(smallest, F.col("post") == F.col("p")).where(F.lit(100 + least) * F.col("usable") >= F.lit(least) * (F.col("size") + partner)).drop("p", "smallest")
+    lists = posts.groupBy(F.col("post").alias("p")).agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    return posts.join(lists.where("c0 <> c1" if not turn else "c0 <> c1 and n > 2").select("p"), F.col("post") == F.col("p"), "left_semi")
+
+
+def _usable(full: DataFrame, least: int) -> DataFrame:
+    """(key, size, usable) of the sets that can be linked: usable is the number of shingles that another of the full sets has too.
+
+    No intersection is larger than usable, and it must be at least least percent of the set. Each shingle is counted once, however
+    many sets share it, with map-side sums.
+    """
+    held = full.select("k0", "k1", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("k0").alias("k0"), F.min("k1").alias("k1"))
+    alone = held.where("n = 1").groupBy(F.col("k0").alias("a0"), F.col("k1").alias("a1")).agg(F.count("*").alias("alone"))
+    sized = full.select("key", "k0", "k1", F.size("shingles").cast("long").alias("size")).join(alone, (F.col("k0") == F.col("a0")) & (F.col("k1") == F.col("a1")), "left")
+    usable = F.col("size") - F.coalesce("alone", F.lit(0))
+    return sized.select(F.col("key").alias("k"), "size", usable.alias("usable")).where(F.lit(100) * F.col("usable") >= F.lit(least) * F.col("size"))
+
+
+def _can_meet(one: str, two: str, least: int) -> Column:
+    """Whether sizes and usable shingles of two rows allow a link: least * union <= 100 * intersection; one and two are prefixes."""
+    sizes = F.col(f"{one}size") + F.col(f"{two}size")
+    both = F.least(f"{one}usable", f"{two}usable", f"{one}size", f"{two}size")
+    return F.lit(100 + least) * both >= F.lit(least) * sizes
 
 
 def _similar(least: int) -> Column:
@@ -158,10 +188,9 @@ def _similar(least: int) -> Column:
 
 def _confirmed(pairs: DataFrame, full: DataFrame, least: int) -> DataFrame:
     """The links (a, b) among pairs (a, b), by their full sets."""
-    small, large = F.least(F.col("n1"), F.col("n2")), F.greatest(F.col("n1"), F.col("n2"))
-    one = full.select(F.col("key").alias("k1"), F.col("shingles").alias("one"), F.size("shingles").alias("n1"))
-    two = full.select(F.col("key").alias("k2"), F.col("shingles").alias("two"), F.size("shingles").alias("n2"))
-    both = pairs.join(one, F.col("b") == F.col("k1")).join(two, (F.col("a") == F.col("k2")) & (F.lit(100) * small >= F.lit(least) * large))
+    one = full.select(F.col("key").alias("k1"), F.col("shingles").alias("one"))
+    two = full.select(F.col("key").alias("k2"), F.col("shingles").alias("two"))
+    both = pairs.join(one, F.col("b") == F.col("k1")).join(two, F.col("a") == F.col("k2"))
     return both.where(_similar(least)).select("a", "b")
 
 
@@ -173,12 +202,21 @@ def _by_component(posts: DataFrame, links: DataFrame | None) -> DataFrame:
     return posts.join(found, F.col("key") == F.col("k"), "left").drop("k").withColumn("component", F.coalesce("component", "key"))
 
 
-def _held_against_hubs(posts: DataFrame, turn: int, k: int) -> DataFrame:
-    """Distinct pairs (a: hub, b) of lists' members with their list's hub, if in another component and agreeing in k coordinates."""
-    member = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "component", *_WORDS)
-    hubs = posts.groupBy(F.col("post").alias("p")).agg(F.min(member).alias("hub")).select("p", F.col("hub.key").alias("a"), F.col("hub.component").alias("c"), *[F.col(f"hub.{w}").alias(f"hub_{w}") for w in _WORDS])
-    near = (F.col("post") == F.col("p")) & (F.col("component") != F.col("c")) & (_agreement("", "hub_") >= k)
-    return posts.join(hubs, near).select("a", F.col("key").alias("b")).distinct()
+def _held_against_hubs(posts: DataFrame, turn: int, k: int, least: int) -> DataFrame:
+    """Distinct pairs (a: hub, b) of lists' members with their list's hub, if in another component and agreeing in k coordinates.
+
+    The hub is the member whose tokens are the most frequent, which is in the middle of a group; after the first turn, of those outside
+    of the list's largest component.
+    """
+    of = posts
+    if turn:
+        parts = posts.groupBy("post", "component").agg(F.count("*").alias("n"))
+        main = parts.groupBy(F.col("post").alias("p")).agg(F.max(F.struct("n", "component")).alias("most")).select("p", F.col("most.component").alias("main"))
+        of = posts.join(main, F.col("post") == F.col("p")).where("component <> main").drop("p", "main")
+    member = F.struct("weight", "key", "component", "size", "usable", *_WORDS)
+    hubs = of.groupBy(F.col("post").alias("p")).agg(F.max(member).alias("hub")).select("p", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("key", "component", "size", "usable", *_WORDS)])
+    near = (F.col("post") == F.col("p")) & (F.col("component") != F.col("hub_component")) & _can_meet("", "hub_", least) & (_agreement("", "hub_") >= k)
+    return posts.join(hubs, near).select(F.col("hub_key").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def _in_blocks(posts: DataFrame) -> DataFrame:
@@ -195,10 +233,10 @@ def _in_blocks(posts: DataFrame) -> DataFrame:
     own = F.when(within, -1 - F.pmod(turn, F.col("inner"))).otherwise(F.pmod(turn, F.greatest(F.col("outer"), F.lit(1)))).cast("int")
     first = F.when(within, F.lit(0)).otherwise(-F.col("inner"))
     rows = posts.join(most, F.col("post") == F.col("p")).withColumn("block", own).withColumn("other", F.explode(F.sequence(first, F.col("outer") - 1)))
-    return rows.select("post", "key", "component", *_WORDS, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.select("post", "key", "component", "usable", *_WORDS, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
-def block_links(keys: np.ndarray, component: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, k: int, least: int) -> list[tuple]:
+def block_links(keys: np.ndarray, component: np.ndarray, sig: np.ndarray, usable: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, k: int, least: int) -> list[tuple]:
     """Links (a, b) between members of first and of second that are in different components, as a spanning forest of these."""
     up: dict = {}
 
@@ -214,7 +252,9 @@ def block_links(keys: np.ndarray, component: np.ndarray, sig: np.ndarray, sets:
     every, who = every[order], who[order]
     out = []
     for x in first:
-        near = second[((sig[second] == sig[x]).sum(axis=1) >= k) & (100 * np.minimum(sizes[second], sizes[x]) >= least * np.maximum(sizes[second], sizes[x]))]
+        most = np.minimum(np.minimum(usable[second], usable[x]), np.minimum(sizes[second], sizes[x]))
+        near = second[((100 + least) * most >= least * (sizes[second] + sizes[x])) & (component[second] != component[x])]
+        near = near[(sig[near] == sig[x]).sum(axis=1) >= k]
         near = [y for y in near if root(component[y]) != root(component[x])]
         if not near:
             continue
@@ -235,12 +275,12 @@ def _compared(pdf: pd.DataFrame, k: int, least: int) -> pd.DataFrame:
     component = np.array([bytes(x) for x in pdf["component"]], dtype=object)
     sig = pdf[_WORDS].to_numpy(dtype=np.int64).copy().view(np.uint8)
     sets = [np.sort(np.asarray(x, dtype=np.int64)) for x in pdf["shingles"]]
-    block, i, j = (pdf[c].to_numpy() for c in ("block", "i", "j"))
+    block, i, j, usable = (pdf[c].to_numpy() for c in ("block", "i", "j", "usable"))
     out: set[tuple] = set()
     for rows in pdf.groupby(["post", "i", "j"], sort=False).indices.values():
         first, second = rows[block[rows] == j[rows]], rows[block[rows] == i[rows]]
         if len(first) and len(second):
-            out.update(block_links(keys, component, sig, sets, first, second, k, least))
+            out.update(block_links(keys, component, sig, usable, sets, first, second, k, least))
     return pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
@@ -250,37 +290,36 @@ def set_links(sets: DataFrame, texts: DataFrame, least: int) -> DataFrame | None
     texts: (key, text) of documents, one of each set at least; texts of other sets are left out.
     """
     k = matches(least)
-    signatures = sets.select(F.col("key").alias("k"), *_WORDS)
-    posts = _prefixes(sets, k)
-    posts = written(posts.join(signatures, F.col("key") == F.col("k")).drop("k"), "posts")
+    posts = written(_prefixes(sets, k), "prefixes")
     wanted = posts.select(F.col("key").alias("k")).distinct()
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
             sets, got = _sets_of(pdf["text"])
             own = np.array([k == bytes(w) for k, w in zip(got, pdf["key"], strict=True)])  # an id can have other texts
-            yield pd.DataFrame({"key": pdf["key"], "shingles": [s.view(np.int64) for s in sets]})[own]
+            halves = np.frombuffer(b"".join(pdf["key"]), dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"key": pdf["key"], "k0": halves[:, 0], "k1": halves[:, 1], "shingles": [s.view(np.int64) for s in sets]})[own]
 
-    full_sets = written(texts.join(wanted, F.col("key") == F.col("k"), "left_semi").mapInPandas(full, "key binary, shingles array<long>"), "full")
+    schema = "key binary, k0 long, k1 long, shingles array<long>"
+    full_sets = written(texts.join(wanted, F.col("key") == F.col("k"), "left_semi").mapInPandas(full, schema), "full")
     if full_sets.count() > wanted.count():  # repeated rows
-        full_sets = written(full_sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "full")
+        full_sets = written(full_sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("k0", "k1", "shingles")]), "full")
+    signatures = sets.select(F.col("key").alias("s"), *_WORDS)
+    live = posts.join(_usable(full_sets, least), F.col("key") == F.col("k")).join(signatures, F.col("key") == F.col("s")).drop("k", "s")
+    live = live.withColumn("component", F.col("key"))
     links = None
-    live = posts.withColumn("component", F.col("key"))
     for turn in range(ROUNDS + 1):
-        sizes = live.groupBy(F.col("post").alias("p")).agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        # A list of two is done when its one pair was held against each other.
-        open_lists = sizes.where("c0 <> c1" if not turn else "c0 <> c1 and n > 2").select("p")
-        live = written(live.join(open_lists, F.col("post") == F.col("p"), "left_semi"), "live")
+        live = written(_open_lists(live, turn, least), "live")
         if live.isEmpty():
             return links
         if turn == ROUNDS:
             break
-        new = written(_confirmed(_held_against_hubs(live, turn, k), full_sets, least), "links")
+        new = written(_confirmed(_held_against_hubs(live, turn, k, least), full_sets, least), "links")
         links = new if links is None else links.unionAll(new)
         live = _by_component(live.drop("component"), links)
     dealt = _in_blocks(live)
     buckets = max(1, live.count() // BUCKET_ROWS)
-    dealt = dealt.join(full_sets.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
+    dealt = dealt.join(full_sets.select(F.col("key").alias("k"), "shingles"), F.col("key") == F.col("k")).drop("k")
     last = dealt.withColumn("bucket", F.pmod(F.xxhash64("post", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: _compared(pdf, k, least), "a binary, b binary")
     return links.unionAll(last)
 
