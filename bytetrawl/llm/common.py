@@ -28,11 +28,19 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"own_{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this process where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this process, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(f"file://{tempfile.mkdtemp(prefix='bytetrawl-')}")
     return _OWN_FOLDER[0]

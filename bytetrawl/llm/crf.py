@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import filled, prepare
@@ -454,11 +455,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in square brackets, overlapping spans by the first one's; n_chars follows. All columns and rows stay; a null text stays null."""
     prepare(docs.sparkSession)
     field = trained_field()
-    schema = docs.schema
 
-    def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in filled(batches):
-            texts = list(pdf["text"])
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             found = find_spans([t or "" for t in texts], field)
             new = []
             for text, (base, more) in zip(texts, found, strict=True):
@@ -471,10 +471,11 @@ def redact(docs: DataFrame) -> DataFrame:
                         out += [text[at:s], f"[{kind.upper()}]"]
                     at = max(at, e)
                 new.append("".join(out) + text[at:])
-            pdf = pdf.assign(text=new)
-            if "n_chars" in pdf:
-                old = pdf["n_chars"]
-                pdf["n_chars"] = [None if c is None or c != c else (len(b) if b is not None and a != b else int(c)) for a, b, c in zip(texts, new, old, strict=True)]
-            yield pdf
-
-    return docs.mapInPandas(replace, schema)
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns["text"] = pa.array(new, batch.schema.field("text").type)
+            if "n_chars" in columns:
+                old = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([len(b) if c is not None and a != b else c for a, b, c in zip(texts, new, old, strict=True)], batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+    return docs.mapInArrow(replace, docs.schema)

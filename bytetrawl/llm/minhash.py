@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, mix64, prepare, segment_hashes, written
+from .common import filled, fresh, mix64, prepare, segment_hashes, written
 from .graph import components
 
 SHINGLE, COORDINATES, MISSED = 5, 32, 1e-11
@@ -110,7 +110,7 @@ def _sets_of(texts: pd.Series) -> tuple[list[np.ndarray], list[bytes | None]]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the set, null if empty), s0 to s3 (a byte for each coordinate) and tokens (a hash for each)."""
+    """doc_id, text_hash, n_shingles, key (hash of the set, null if empty), s0 to s3 (a byte for each coordinate) and tokens (a hash for each)."""
     position = np.arange(1, COORDINATES + 1, dtype=np.uint64)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,9 +125,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     rows.append((0, None, *[0] * len(_WORDS), None))
             out = pd.DataFrame(rows, columns=["n_shingles", "key", *_WORDS, "tokens"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
+            out.insert(1, "text_hash", pdf["text_hash"])
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, f"doc_id long, n_shingles long, key binary, {', '.join(f'{w} long' for w in _WORDS)}, tokens array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(sketch, f"doc_id long, text_hash long, n_shingles long, key binary, {', '.join(f'{w} long' for w in _WORDS)}, tokens array<long>")
 
 
 def _agreement(one: str, two: str) -> Column:
@@ -324,29 +325,55 @@ def set_links(sets: DataFrame, texts: DataFrame, least: int) -> DataFrame | None
     return links.unionAll(last)
 
 
-def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
-    """Each row's doc_id, n_shingles, component_id and kept; texts are linked from a similarity of least percent (2 to 100) on.
-
-    Null texts and texts without words have no shingles and are linked with nothing: each is its own component. A null doc_id is
-    linked with nothing either: its component_id is null and it is kept. Of tied (equal) texts and repeated rows the smallest doc_id
-    is kept; rows with one doc_id and different texts are judged one by one. Texts of any length are read whole. Other columns are
-    left out, and may have any name; an empty table gives an empty table.
-    """
+def grouped(docs: DataFrame, least: int) -> DataFrame:
+    """Each row's doc_id, text_hash, n_shingles, key of its set, group (the key of its set's component) and component_id."""
     prepare(docs.sparkSession)
     all_rows = written(sketches(docs), "sketches")
     some = all_rows.where("key is not null and doc_id is not null")
     first = [F.first(c).alias(c) for c in (*_WORDS, "tokens")]
     sets = written(some.groupBy("key").agg(F.min("doc_id").alias("least_id"), *first), "sets")
     one_of = sets.select("key", F.col("least_id").alias("id"))
-
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(one_of, F.col("doc_id") == F.col("id"))
     links = set_links(sets, texts.select("key", "text"), least)
-    by_set = sets.select(F.col("key").alias("k"), F.col("least_id").alias("set_component"))
+    by_set = sets.select(F.col("key").alias("k"), F.col("least_id").alias("set_component"), F.col("key").alias("group"))
     if links is not None:
-        found = written(components(links).join(by_set, F.col("node") == F.col("k")).select("k", "component", "set_component"), "components")
+        found = written(components(links).join(by_set.drop("group"), F.col("node") == F.col("k")).select("k", "component", "set_component"), "components")
         named = found.groupBy(F.col("component").alias("c")).agg(F.min("set_component").alias("least_id"))
-        found = found.join(named, F.col("component") == F.col("c")).select("k", "least_id")
-        by_set = by_set.join(found, "k", "left").select("k", F.coalesce("least_id", "set_component").alias("set_component"))
+        found = found.join(named, F.col("component") == F.col("c")).select("k", "least_id", "component")
+        by_set = by_set.join(found, "k", "left").select("k", F.coalesce("least_id", "set_component").alias("set_component"), F.coalesce("component", "group").alias("group"))
     out = all_rows.join(by_set, F.col("key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("set_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", "key", "group", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
+    """Each row's doc_id, n_shingles, component_id and kept; texts are linked from a similarity of least percent (2 to 100) on.
+
+    Null texts and texts without words have no shingles and are linked with nothing: each is its own component. A null doc_id is
+    linked with nothing either: its component_id is null and it is kept. Of tied (equal) texts and repeated rows the smallest doc_id
+    is kept; rows with one doc_id and different texts are judged one by one. Texts of any length are read whole. Other columns are
+    left out, and may have any name; an empty table gives an empty table.
+    """
+    return grouped(docs, least).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, least: int) -> DataFrame:
+    """The rows of docs without near-duplicates: one of each group stays, with all its columns.
+
+    It is the one with the smallest doc_id; of rows with that doc_id, the one with the smallest hash of its text, and of rows that
+    agree in both, the first by their other columns as JSON. Rows without a doc_id, a text or words stay, each of them.
+    """
+    rows = written(grouped(docs, least).where("doc_id is not null and key is not null"), "grouped")
+    chosen = rows.groupBy(F.col("group").alias("g")).agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    mark, ident, digest, at = fresh(docs, 4)
+    judged = rows.join(chosen, F.col("group") == F.col("g")).withColumn("same", F.struct("doc_id", "text_hash") == F.col("one"))
+    pair = [F.col("doc_id").alias(ident), F.col("text_hash").alias(mark)]
+    kept = docs.withColumn(digest, F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col(ident)) & (F.col(digest) == F.col(mark))
+    repeated = written(judged.where("same").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(*pair), "repeated")
+    kept = kept.join(judged.where("not same").select(*pair).distinct(), same, "left_anti")
+    if not repeated.isEmpty():
+        order = Window.partitionBy("doc_id", digest).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+        several = kept.join(repeated, same, "left_semi").withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).drop(at)
+        kept = kept.join(repeated, same, "left_anti").unionByName(several)
+    return kept.drop(digest)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,22 +150,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return cotrain([stack(known["a"], na), stack(known["b"], nb)], known["quality"].to_numpy(), [stack(unknown["a"], na), stack(unknown["b"], nb)])
 
 
-def quality(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> DataFrame:
-    """Each row's doc_id, score (0 to 1, higher: better) and accepted; with keep_columns, all columns of docs and these two.
+def _scores(model: Model | None, pdf: pd.DataFrame) -> np.ndarray:
+    return model.score(_parts(pdf)) if model else np.ones(len(pdf))
 
-    Null texts count as empty and null metadata as a value of its own; a null doc_id is kept; repeated rows give repeated rows;
-    without labels of both classes every row scores 1. Columns of docs named score or accepted give way to the results.
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each row's doc_id, score (0 to 1, higher: better) and accepted.
+
+    Null texts count as empty and null metadata as a value of its own; whole texts of any length are read; a null doc_id is kept;
+    repeated rows give repeated rows with the same score; without labels of both classes every row scores 1. Other columns are left out; an
+    empty table gives an empty table.
     """
     prepare(docs.sparkSession)
     model = fit(docs, labels)
-    own = [c for c in docs.columns if c not in ("score", "accepted")]
-    base = docs.select(*own) if keep_columns else docs.select("doc_id", "text", "lang", "source", "n_chars")
-    names = own if keep_columns else ["doc_id"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in names), "score double", "accepted boolean"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
-            s = model.score(_parts(pdf)) if model else np.ones(len(pdf))
-            yield pdf[names].assign(score=s, accepted=s >= THRESHOLD)
+            s = _scores(model, pdf)
+            yield pdf[["doc_id"]].assign(score=s, accepted=s >= THRESHOLD)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInPandas(score, f"doc_id {kind}, score double, accepted boolean")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not rejected, with their own columns and no others."""
+    prepare(docs.sparkSession)
+    model = fit(docs, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_scores(model, batch.select(["text", "lang", "source", "n_chars"]).to_pandas()) >= THRESHOLD))
 
-    return base.mapInPandas(score, schema)
+    return docs.mapInArrow(keep, docs.schema)
