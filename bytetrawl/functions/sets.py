@@ -105,7 +105,7 @@ CATEGORIES = {
 
 
 def property_set(name: str) -> Ranges | None:
-    """The set of a property expression: a general category, Any, ASCII, or a script or block word that starts characters' names; None if unknown."""
+    """The set of a property expression: a general category, Any, ASCII, a script, block or binary property; None if unknown."""
     text = name.strip()
     negated = text.startswith("^")
     key = text.lstrip("^").split("=")[-1].split(":")[-1].strip()
@@ -127,16 +127,32 @@ def property_set(name: str) -> Ranges | None:
     elif low.capitalize() in CATEGORIES.values() or key in CATEGORIES.values():
         found = category(low.capitalize())
     else:
-        found = _named(low)
+        found = _property(text.lstrip("^").strip())
     return None if found is None else complement(found) if negated else found
 
 
 @functools.lru_cache(maxsize=32)
-def _named(word: str) -> Ranges | None:
-    """Characters whose names begin with a script's name."""
-    start = word.upper().replace("_", " ") + " "
-    out = make((cp, cp) for cp in range(sys.maxunicode + 1) if unicodedata.name(chr(cp), "").startswith(start))
-    return out or None
+def _property(expression: str) -> Ranges | None:
+    """A property that the regex library knows: scripts, blocks, binary properties; without the library, characters whose names begin with the word."""
+    try:
+        import regex
+    except ImportError:
+        start = expression.split("=")[-1].upper().replace("_", " ") + " "
+        return make((cp, cp) for cp in range(sys.maxunicode + 1) if unicodedata.name(chr(cp), "").startswith(start)) or None
+    key, sign, value = (x.strip() for x in expression.partition("="))
+    known = {"sc": "Script", "scx": "Script_Extensions", "gc": "General_Category", "blk": "Block"}
+    try:
+        found = regex.compile(rf"[\p{{{known.get(key.lower(), key)}{sign}{value}}}]+")
+    except regex.error:
+        return None
+    out = [(m.start(), m.end() - 1) for m in found.finditer(_everything())]
+    # Surrogates stand in the text as themselves, so offsets are code points.
+    return make(out) or None
+
+
+@functools.lru_cache(maxsize=1)
+def _everything() -> str:
+    return "".join(map(chr, range(sys.maxunicode + 1)))
 
 
 @functools.lru_cache(maxsize=1)

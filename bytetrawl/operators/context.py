@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from bytetrawl.functions import encodings
 
 
@@ -109,6 +113,32 @@ def read_window(data: bytes, offset: int, chain: str, begin: int, end: int, pre:
     return [v for v, _ in values], [offset + o for _, o in values] + [offset + (stop if right or not post else end)], (len(left), len(left) + len(hit)), sum(v < 0 for v, _ in values)
 
 
+def full_hit_context(data: bytes, start: int, end: int, chain: str = "UTF-8", window: int = 100, replacement: str = " ") -> tuple[str, int, int]:
+    """Text of a hit with so many code points around it, and the hit's place in it (code points); bad values and null characters are the replacement."""
+    values, _, (a, b), _ = read_window(data, 0, chain, start, end, window, window)
+    return "".join(chr(v) if v > 0 and not 0xD800 <= v < 0xE000 else replacement for v in values), a, b
+
+
+def with_windows(hits: DataFrame, content: str, pre: int, post: int) -> DataFrame:
+    """Hits (start, end, enc_chain and the searched value in a column) with window: values, offsets, begin, end and bad, as read_window gives them. A null value has a null window."""
+    kind = dict(hits.dtypes)[content]
+    schema = "values array<int>, offsets array<long>, begin int, end int, bad int"
+
+    @F.pandas_udf(schema)  # type: ignore[call-overload]
+    def window(raw: pd.Series, start: pd.Series, end: pd.Series, chain: pd.Series) -> pd.DataFrame:
+        rows = []
+        for r, s, e, c in zip(raw, start, end, chain, strict=True):
+            if r is None:
+                rows.append((None, None, None, None, None))
+                continue
+            values, offsets, (a, b), bad = read_window(bytes(r), 0, "UTF-8" if c == "US-ASCII" else c, int(s), int(e), pre, post)
+            rows.append((values, offsets, a, b, bad))
+        return pd.DataFrame(rows, columns=["values", "offsets", "begin", "end", "bad"])
+
+    raw = F.encode(content, "UTF-8") if kind == "string" else F.col(content)
+    return hits.withColumn("window", window(raw, "start", "end", "enc_chain"))
+
+
 def line_options(both: int | None = None, before: int | None = None, after: int | None = None) -> tuple[int, int]:
     """Lines before and after from three options; both sets the other two. ValueError below -1."""
     b, a = (both, both) if both is not None else (before if before is not None else -1, after if after is not None else -1)

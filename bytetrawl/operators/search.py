@@ -1,44 +1,56 @@
 """Search of table columns with pattern sets.
 
 Offsets are byte offsets, half open. Each label reports its own leftmost matches that don't overlap, as a union over labels. The
-byte engine runs Python's re on Arrow batches of encoded text, with the compiled byte expression; patterns whose nested loops could
-explode there run on the automaton. Questions that need no offsets (which rows, how many hits, which texts) stay in the JVM where
-the pattern can be said in characters.
+byte engine works on Arrow batches of encoded text. Python's re runs the compiled byte expression where emit.cost() bounds its time for the
+value's length; otherwise the automaton does, whose time grows with the bytes. Questions that need no offsets (which rows, how many
+hits, which texts) stay in the JVM where the pattern can be said in characters.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytetrawl.plans import emit, parser
+from bytetrawl.plans import automaton, emit
 from bytetrawl.plans.patterns import Label, PatternSet
 
 from . import context as ctx
 
 #: Rows in an Arrow batch.
 BATCH_ROWS = 1000
+#: Hits in an Arrow batch that is handed on.
+BATCH_HITS = 50_000
 Finder = Callable[[bytes], list[tuple[int, int]]]
 
 
+def _machine(label: Label) -> Callable[[], automaton.Machine]:
+    """The label's automaton, made when it is first called for."""
+    return functools.cache(lambda: automaton.Machine(emit.program(label.tree, label.enc_chain)))
+
+
+def _by_length(label: Label, short: Finder, long: Finder) -> Finder:
+    """short for values that it can search in bounded time, and long for others."""
+    most = emit.RE_BYTES.get(emit.cost(label.tree), -1)
+    return lambda data: short(data) if len(data) <= most else long(data)
+
+
 def finder(label: Label) -> Finder:
     """A function that finds a label's hits in bytes."""
     tree = label.tree
-    if (text := emit.literal(tree)) is not None and not label.options.case_insensitive:
-        options = emit.encodings.byte_sequences(emit.sets.of(*map(ord, text[:1])), label.enc_chain)
-        if len(options) == 1:
-            needle = b"".join(bytes(lo for lo, _ in emit.encodings.byte_sequences(emit.sets.of(ord(c)), label.enc_chain)[0]) for c in text)
-            return lambda data: _literal(data, needle)
-    if parser.loop_depth(tree) > 1:
-        machine = emit.Machine(emit.program(tree, label.enc_chain))
-        return lambda data: machine.find(data)[0]
+    if (text := emit.literal(tree)) is not None and not label.options.case_insensitive and (needle := emit.literal_bytes(text, label.enc_chain)):
+        return lambda data: _literal(data, needle)
+    machine = _machine(label)
     expression = re.compile(emit.byte_regex(tree, label.enc_chain), re.DOTALL)
-    return lambda data: [m.span() for m in expression.finditer(data)]
+    found = _by_length(label, lambda data: [m.span() for m in expression.finditer(data)], lambda data: machine().find(data))
+    need = emit.literal_bytes(emit.required(tree), label.enc_chain)
+    return (lambda data: found(data) if need in data else []) if need else found
 
 
 def _literal(data: bytes, needle: bytes) -> list[tuple[int, int]]:
@@ -51,12 +63,9 @@ def _literal(data: bytes, needle: bytes) -> list[tuple[int, int]]:
 
 def starter(label: Label) -> Finder:
     """A function that finds a label's hit at the first byte."""
-    tree = label.tree
-    if parser.loop_depth(tree) > 1:
-        machine = emit.Machine(emit.program(tree, label.enc_chain))
-        return lambda data: [(0, e)] if (e := machine.at(data, 0)[0]) > 0 else []
-    expression = re.compile(b"(?:" + emit.byte_regex(tree, label.enc_chain) + b")", re.DOTALL)
-    return lambda data: [m.span()] if (m := expression.match(data)) else []
+    machine = _machine(label)
+    expression = re.compile(b"(?:" + emit.byte_regex(label.tree, label.enc_chain) + b")", re.DOTALL)
+    return _by_length(label, lambda data: [m.span()] if (m := expression.match(data)) else [], lambda data: [(0, e)] if (e := machine().at(data)) > 0 else [])
 
 
 def _many(labels: Sequence[Label]) -> Callable[[bytes], Iterator[tuple[int, int, int]]] | None:
@@ -88,6 +97,29 @@ def _many(labels: Sequence[Label]) -> Callable[[bytes], Iterator[tuple[int, int,
     return find
 
 
+def _texts(parts: list[bytes], index: np.ndarray, labels: Sequence[Label]) -> pa.Array:
+    """The texts of hits, as bytes where those are valid UTF-8 and the label's encoding says so."""
+    if all(x.enc_chain in ("UTF-8", "US-ASCII") for x in labels):
+        try:
+            raw = pa.array(parts, pa.binary())
+            if not any(b"\0" in p for p in parts):
+                text = raw.cast(pa.string())
+                text.validate(full=True)
+                return text
+        except pa.ArrowInvalid:
+            pass
+    known: dict[tuple[bytes, str], str] = {}
+    out = []
+    for p, i in zip(parts, index, strict=True):
+        key = p, labels[i].enc_chain
+        if key not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[key] = ctx.text_of(*key)
+        out.append(known[key])
+    return pa.array(out, pa.string())
+
+
 def _run(df: DataFrame, column: str, patterns: PatternSet, keys: Sequence[str], begins: bool, lines: tuple[int, int] | None, base: str | None) -> DataFrame:
     labels = list(patterns.check().labels)
     spark = df.sparkSession
@@ -100,36 +132,59 @@ def _run(df: DataFrame, column: str, patterns: PatternSet, keys: Sequence[str],
     fields = [T.StructField(k, kinds[k]) for k in keys]
     fields += [T.StructField(n, t) for n, t in (("start", T.LongType()), ("end", T.LongType()), ("keyword_index", T.IntegerType()), ("user_index", T.LongType()), ("pattern", T.StringType()), ("enc_chain", T.StringType()), ("hit_text", T.StringType()))]
     if lines is not None:
-        fields += [T.StructField(n, t) for n, t in (("context", T.StringType()), ("data_offset", T.LongType()), ("hit_begin", T.IntegerType()), ("hit_end", T.IntegerType()))]
+        fields += [T.StructField(n, t) for n, t in (("context", T.StringType()), ("data_offset", T.LongType()), ("hit_begin", T.IntegerType()), ("hit_end", T.IntegerType()), ("bad", T.IntegerType()))]
     schema = T.StructType(fields)
-    names = [f.name for f in fields]
+    n_keys = len(keys)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = _many(labels) if len(labels) > 16 and not begins else None
         finders = [] if many else [starter(x) if begins else finder(x) for x in labels]
-        for pdf in batches:
-            columns: list[list] = [[] for _ in names]
+        meta = [pa.array([x.user_index for x in labels], pa.int64()), pa.array([x.pattern for x in labels], pa.string()), pa.array([x.enc_chain for x in labels], pa.string())]
+
+        def made(batch: pa.RecordBatch, rows: list[int], counts: list[int], which: list[int], spans: list[tuple[int, int]], parts: list[bytes], around: list[ctx.Context]) -> pa.RecordBatch:
+            at = np.repeat(np.array(rows, dtype=np.int64), counts)
+            index = np.repeat(np.array(which, dtype=np.int32), counts)
+            off = batch.column(n_keys).to_numpy(zero_copy_only=False)[at] if base else 0
+            both = np.array(spans, dtype=np.int64).reshape(-1, 2)
+            take = pa.array(index)
+            out = [batch.column(i).take(pa.array(at)) for i in range(n_keys)]
+            out += [pa.array(both[:, 0] + off), pa.array(both[:, 1] + off), take, *[m.take(take) for m in meta], _texts(parts, index, labels)]
+            if lines is not None:
+                out += [pa.array([c.context for c in around], pa.string()), pa.array(np.array([c.data_offset for c in around], dtype=np.int64) + off)]
+                out += [pa.array([getattr(c, name) for c in around], pa.int32()) for name in ("hit_begin", "hit_end", "bad")]
+            return pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+
+        for batch in batches:
             rows: list[int] = []
-            bases = pdf["__base"].tolist() if base else [0] * len(pdf)
-            for r, (raw, off) in enumerate(zip(pdf["__data"], bases, strict=True)):
-                content = bytes(raw)
-                hits = many(content) if many else ((s, e, i) for i, f in enumerate(finders) for s, e in f(content))
-                for s, e, i in hits:
-                    x = labels[i]
+            counts: list[int] = []
+            which: list[int] = []
+            spans: list[tuple[int, int]] = []
+            parts: list[bytes] = []
+            around: list[ctx.Context] = []
+            for r, value in enumerate(batch.column(batch.num_columns - 1)):
+                content = value.as_py()
+                if many:
+                    by_label: dict[int, list[tuple[int, int]]] = {}
+                    for s, e, i in many(content):
+                        by_label.setdefault(i, []).append((s, e))
+                    found = list(by_label.items())
+                else:
+                    found = [(i, hits) for i, f in enumerate(finders) if (hits := f(content))]
+                for i, hits in found:
                     rows.append(r)
-                    one = [s + off, e + off, i, x.user_index, x.pattern, x.enc_chain, ctx.text_of(content[s:e], x.enc_chain)]
+                    counts.append(len(hits))
+                    which.append(i)
+                    spans += hits
+                    parts += [content[s:e] for s, e in hits]
                     if lines is not None:
-                        c = ctx.hit_context(content, s, e, lines[0], lines[1], x.enc_chain)
-                        one += [c.context, c.data_offset + off, c.hit_begin, c.hit_end]
-                    for column, value in zip(columns[len(keys) :], one, strict=True):
-                        column.append(value)
-            if not rows:  # lists without rows would make columns of a wrong type
-                continue
-            out = {k: pdf[k].take(rows).reset_index(drop=True) for k in keys}
-            out |= dict(zip(names[len(keys) :], columns[len(keys) :], strict=True))
-            yield pd.DataFrame(out, columns=names)
+                        around += [ctx.hit_context(content, s, e, lines[0], lines[1], labels[i].enc_chain) for s, e in hits]
+                if len(spans) >= BATCH_HITS:
+                    yield made(batch, rows, counts, which, spans, parts, around)
+                    rows, counts, which, spans, parts, around = [], [], [], [], [], []
+            if spans:
+                yield made(batch, rows, counts, which, spans, parts, around)
 
-    return source.mapInPandas(find, schema)
+    return source.mapInArrow(find, schema)
 
 
 def search(df: DataFrame, column: str, patterns: PatternSet, keys: Sequence[str] = (), lines: tuple[int, int] | None = None, base: str | None = None) -> DataFrame:
@@ -151,7 +206,8 @@ def search_resolve(data: bytes, label: Label, boundary: int) -> list[tuple[int,
 
 
 def _java(label: Label) -> str | None:
-    return emit.char_regex(label.tree, label.enc_chain)
+    """The expression for the JVM's backtracking engine, where its time is bounded well enough."""
+    return emit.char_regex(label.tree, label.enc_chain) if emit.cost(label.tree) in (0, 1) else None
 
 
 def hit_texts(df: DataFrame, column: str, patterns: PatternSet, keys: Sequence[str] = ()) -> DataFrame:
@@ -171,13 +227,26 @@ def hit_texts(df: DataFrame, column: str, patterns: PatternSet, keys: Sequence[s
 
 
 def counts(df: DataFrame, column: str, patterns: PatternSet, keys: Sequence[str] = ()) -> DataFrame:
-    """The keys of each row and its number of hits of each label (hits_0, hits_1, ...), in the JVM if every label allows it."""
-    expressions = [_java(x) for x in patterns.check().labels]
-    if dict(df.dtypes)[column] == "string" and None not in expressions:
+    """The keys of each row and its number of hits of each label (hits_0, hits_1, ...): a row for each row, none for a null value.
+
+    In the JVM if every label allows it, and else in Arrow batches, with the same result.
+    """
+    labels = list(patterns.check().labels)
+    expressions = [_java(x) for x in labels]
+    kinds = {f.name: f.dataType for f in df.schema}
+    if isinstance(kinds[column], T.StringType) and None not in expressions:
         return df.select(*keys, *[F.coalesce(F.regexp_count(column, F.lit(f"(?s){e}")), F.lit(0)).cast("long").alias(f"hits_{i}") for i, e in enumerate(expressions)])
-    found = search(df, column, patterns, keys).groupBy(*keys)
-    per = found.agg(*[F.sum((F.col("keyword_index") == i).cast("long")).alias(f"hits_{i}") for i in range(len(expressions))])
-    return df.select(*keys).join(per, list(keys), "left").fillna(0)
+    data = F.encode(column, "UTF-8") if isinstance(kinds[column], T.StringType) else F.col(column)
+    schema = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), *(T.StructField(f"hits_{i}", T.LongType()) for i in range(len(labels)))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finders = [finder(x) for x in labels]
+        for batch in batches:
+            values = [v.as_py() for v in batch.column(batch.num_columns - 1)]
+            found = [pa.array([0 if v is None else len(f(v)) for v in values], pa.int64()) for f in finders]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=schema.names)
+
+    return df.select(*keys, data.alias("__data")).mapInArrow(count, schema)
 
 
 def has_hit(column: str, label: Label) -> Column:

@@ -1,6 +1,7 @@
 """The pattern language, encodings and automata, without Spark."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 
 from bytetrawl.functions import encodings, sets
 from bytetrawl.operators.search import finder, search_resolve, starter
-from bytetrawl.plans import emit, parser, tools
+from bytetrawl.plans import automaton, emit, parser, tools
 from bytetrawl.plans.parser import Options, PatternError, parse, unparse
 from bytetrawl.plans.patterns import PatternSet
 from bytetrawl.streaming.search import StreamSearch
@@ -140,7 +141,7 @@ def test_engines_agree(pattern, text):
     data = text.encode()
     expected = [m.span() for m in re.finditer(pattern, text, re.DOTALL)]
     assert [m.span() for m in re.finditer(emit.byte_regex(tree, "US-ASCII"), data, re.DOTALL)] == expected
-    assert emit.Machine(emit.program(tree, "US-ASCII")).find(data)[0] == expected
+    assert automaton.Machine(emit.program(tree, "US-ASCII")).find(data) == expected
     assert parse(unparse(tree)) == tree or [m.span() for m in re.finditer(emit.byte_regex(parse(unparse(tree)), "US-ASCII"), data, re.DOTALL)] == expected
 
 
@@ -179,3 +180,55 @@ def test_samples_match():
 
 def test_encase():
     assert [x.pattern for x in PatternSet.from_encase(["#+", "\\w0041*b"]).labels] == ["\\d{1,255}", "\\x{0041}{0,255}b"]
+
+
+@pytest.mark.parametrize(("pattern", "text"), [("(a+)+b", "a"), ("(a|aa)*b", "a"), ("x[^y]*y", "x"), ("a.*z|a", "a"), (".*a.*b.*c", "a"), ("(a*b*)+c", "ab")])
+def test_time_grows_with_the_bytes(pattern, text):
+    """Twice the bytes take about twice the time, in values and in chunks."""
+    label = PatternSet.from_list([pattern]).labels[0]
+
+    def seconds(n):
+        data = (text * n)[:n].encode()
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            whole = automaton.Machine(emit.program(label.tree, label.enc_chain)).find(data)
+            s = StreamSearch(PatternSet.from_list([pattern]))
+            parts = [h for i in range(0, n, 100) for h in s.feed(data[i : i + 100])] + s.close()
+            took.append(time.perf_counter() - began)
+            assert [(a, b) for a, b, _ in parts] == whole
+        return min(took)
+
+    seconds(1000)
+    assert seconds(200_000) < 3 * seconds(100_000) < 15
+    began = time.perf_counter()
+    finder(label)((text * 100_000)[:100_000].encode())
+    assert time.perf_counter() - began < 5
+
+
+def test_state_is_bounded_by_the_program():
+    s = StreamSearch(PatternSet.from_list(["x[^y]*y", "(ab|a)+c"]))
+    sizes = []
+    for _ in range(50):
+        s.feed(b"x" + b"ab" * 500)
+        sizes.append(len(s.state()))
+    assert max(sizes) < 600
+
+
+def test_engines_and_routes():
+    assert [emit.cost(parse(p)) for p in ("abc", "[a-z]+,", "[a-z]+ing", "a.*b.*c", "(a+)+b", "(a|aa)*b", "(ab)+c", "er.{0,30}th")] == [0, 1, 1, 2, None, None, 1, 0]
+
+
+def test_nested_byte_classes():
+    for p in (r"[^b\z41]", r"[[^b\z41]]"):
+        assert hits([p], "AB") == [(1, 2, 0)]
+    assert hits([r"[\z41[^b\z41]]"], "ABb") == [(0, 1, 0), (1, 2, 0)]
+    assert hits([r"[a-c--\z61]"], "abc") == [(0, 1, 0), (1, 2, 0), (2, 3, 0)]
+
+
+def test_script_properties():
+    """Scripts are the Unicode property, not the first word of names."""
+    one = lambda p, cp: bool(sets.intersection(parse(p, Options(unicode=True)).points, sets.of(cp)))
+    for cp in (0xAA, 0x2167, 0x212A):
+        assert one(r"\p{Latin}", cp) and one(r"\p{Script=Latin}", cp) and not one(r"\P{Latin}", cp)
+    assert one(r"\p{sc=Grek}", 0x3B1) and not one(r"\p{Greek}", 0x41)

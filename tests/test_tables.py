@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 from bytetrawl.operators import context, search, sinks, summary
+from bytetrawl.operators.search import counts, finder
 from bytetrawl.plans import catalog
 from bytetrawl.plans.parser import Options
 from bytetrawl.plans.patterns import PatternSet
 from bytetrawl.sources import files
-from bytetrawl.streaming.search import search_stream
+from bytetrawl.streaming.search import search_chunks, search_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -85,3 +86,51 @@ def test_structured_stream(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert sorted((r.start, r.end, r.keyword_index) for r in spark.table(out).collect()) == [(0, 1, 1), (7, 11, 0), (19, 21, 1)]
+
+
+@pytest.mark.parametrize(("pattern", "want"), [("ab", [(1, 1), (1, 2), (None, 1), (2, 0)]), ("(ab)+", [(1, 1), (1, 2), (None, 1), (2, 0)]), ("(a?b)+", [(1, 1), (1, 2), (None, 1), (2, 0)])])
+def test_counts_are_by_row(spark, pattern, want):
+    """Equal keys stay rows of their own, null keys stay null, and null values have no hits, by whichever engine."""
+    df = spark.createDataFrame([(1, "aab"), (1, "ab ab"), (None, "ab"), (2, None)], "k int, t string")
+    got = [tuple(r) for r in counts(df, "t", PatternSet.from_list([pattern]), ["k"]).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_long_streams(spark):
+    """Streams beyond what is gathered go on with the automaton, with the same hits."""
+    text = ("a walking dog " * 30 + "x" * 5000) * 400
+    rows = [("long", i, text[i * 3000 : i * 3000 + 3000]) for i in range(-(-len(text) // 3000))] + [("short", 0, "walk"), ("short", 1, "ing on"), ("none", 0, None)]
+    assert len(text) > 2 << 20
+    df = spark.createDataFrame(rows, "s string, i int, c string").repartition(5)
+    ps = PatternSet.from_list(["[a-z]+ing", "x{3}"])
+    got = sorted((r.s, r.start, r.end, r.keyword_index) for r in search_chunks(df, ps, "s", "i", "c").collect())
+    want = [("long", *h, i) for i, x in enumerate(ps.labels) for h in finder(x)(text.encode())] + [("short", 0, 7, 0)]
+    assert got == sorted(want)
+
+
+def test_chunked_files(spark, tmp_path):
+    """A file in pieces of any size gives the hits of the whole file."""
+    content = b"one ing two walking \xff\x00" * 4000
+    (tmp_path / "a b.bin").write_bytes(content)
+    (tmp_path / "empty").write_bytes(b"")
+    pieces = files.read_chunks(spark, str(tmp_path), chunk_bytes=7001)
+    assert pieces.agg({"offset": "max"}).first()[0] == len(content) // 7001 * 7001
+    ps = PatternSet.from_list(["[a-z]+ing", "g [a-z]+"])
+    got = sorted((r.start, r.end, r.keyword_index) for r in search_chunks(pieces, ps, "path", "chunk", "content").collect())
+    assert got == sorted((*h, i) for i, x in enumerate(ps.labels) for h in finder(x)(content))
+    (tmp_path / "other").write_bytes(b"x")
+    (tmp_path / "list").write_text(f"{tmp_path}/other\n\n{tmp_path}/a b.bin\n{tmp_path}/other\n")
+    assert sorted((r.path.split("/")[-1], r.turn) for r in files.read_lists(spark, str(tmp_path / "list")).collect()) == [("a b.bin", 1), ("other", 1), ("other", 2)]
+    assert files.list_names(spark, str(tmp_path / "list")) == [f"{tmp_path}/other", f"{tmp_path}/a b.bin", f"{tmp_path}/other"]
+
+
+def test_windows_and_measures(spark):
+    df = spark.createDataFrame([(1, "päx one"), (2, None)], "id int, t string")
+    hits = search.search(df, "t", PatternSet.from_list(["x"], ["UTF-8"]), ["id", "t"])
+    w = context.with_windows(hits, "t", 2, 3).first().window
+    assert (w.values, w.offsets, w.begin, w.end, w.bad) == ([ord(c) for c in "päx on"], [0, 1, 3, 4, 5, 6, 7], 2, 3, 0)
+    assert context.full_hit_context("päx one".encode(), 3, 4, window=2) == ("päx o", 2, 3)
+    m = summary.measured(df, "t", lambda d: search.search(d, "t", PatternSet.from_list(["[a-z]"])))
+    assert (m.rows, m.bytes, m.hits) == (1, 8, 5) and "MB/s avg" in str(m)
+    bad = search.search(spark.createDataFrame([(bytearray(b"\xffx\xfe"),)], "b binary"), "b", PatternSet.from_list(["x"], ["UTF-8"]), lines=(0, 0)).first()
+    assert bad.bad == 2
