@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -331,6 +332,74 @@ def test_article_of_near_copies(spark):
         assert got[10 + i] == "all alike"
 
 
+def plain_extraction(rows):
+    """The query by dictionaries: entropies of presentations and contents by host and path, times weights."""
+    tree = {}
+    for _, url, source in rows:
+        if html_tree.host(url) and source:
+            page = html_tree.parse(source, decode=False)
+            for path, (style, content, weight) in html_tree.seen_once(page).items():
+                tree.setdefault((html_tree.host(url), path), set()).add((style, content, weight, html_tree.near_key(page)))
+
+    def entropy(values):
+        n = len(values)
+        return 1.0 if n < 2 else -sum(values.count(v) / n * math.log(values.count(v) / n, n) for v in set(values))
+
+    low = set()
+    for key, seen in tree.items():
+        seen = list(seen)
+        h = entropy([c for _, c, _, _ in seen])
+        if any(s for s, *_ in seen):
+            h = (h + entropy([s for s, *_ in seen])) / 2
+        if sum(w for *_, w, _ in seen) / len(seen) * (len(seen) * h + html_tree.FREE) / (len(seen) + html_tree.FREE) < html_tree.IMPORTANCE - 1e-9:
+            low.add(key)
+    out = []
+    for page_id, url, source in rows:
+        h = html_tree.host(url)
+        page = html_tree.parse(source or "")
+        text = html_tree.main_text(page, frozenset(p for k, p in low if k == h) if h else None)
+        out.append((page_id, url, text, len(text)))
+    return sorted(out, key=repr), low
+
+
+def test_html_against_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    r = random.Random(5)
+    for i in range(60):  # a site without marked articles, with boxes that differ by section, and copies
+        body = "".join(f"<p>{invented(r, 12)}</p>" for _ in range(r.randint(1, 6)))
+        box = f"<div id=top><span>Section {i % 2}</span></div><div class=tools><ul><li>print<li>send</ul></div>loose words"
+        rows += [(1000 + i, f"http://s.org/{i}", f"<body>{box}<div class=text>{body}</div><div class=more>{body if i % 3 else 'all'}</div></body>")] * (1 + (i == 7))
+    rows += [(2000, None, "<nav>x</nav><p>y"), (2001, "http://e.org", None), (None, "http://s.org/1", "<p>z"), (2002, "http://s.org/long", "<div>" + "<p>long text " * 60_000)]
+    df = spark.createDataFrame([(*x, "c", "d") for x in rows], "page_id long, url string, html string, host string, removed string").repartition(4)
+    want, low = plain_extraction(rows)
+    assert sorted((tuple(g) for g in html_tree.extracted(df).collect()), key=repr) == want
+    got = {(g.host, g.path) for g in html_tree.low_importance(df).collect()}
+    assert got == low and len(got) > 30
+    assert html_tree.extracted(df.limit(0)).count() == 0
+    text = {g[0]: g[2] for g in want}
+    assert "print" not in text[1003] and "Section" not in text[1003] and "loose" not in text[1003] and text[1003]
+
+
+def test_removal_is_by_the_tree(spark, monkeypatch):
+    """Without branches of low importance, menus and adverts stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert html_tree.importance(pages).count() > 0
+    usual = {g.page_id: g.n_chars for g in html_tree.extracted(pages).collect()}
+    monkeypatch.setattr(html_tree, "IMPORTANCE", 0.0)
+    whole = {g.page_id: g.n_chars for g in html_tree.extracted(pages).collect()}
+    assert all(whole[k] > usual[k] for k in usual)
+
+
+@pytest.mark.parametrize("wrapper", ["content no-sidebar", "site has-header-menu", "entry-content search-results"])
+def test_wrappers_stay(wrapper):
+    page = f"<body><div class='{wrapper}'><p>some text</p></div><div class=sidebar>no</div></body>"
+    assert html_tree.main_text(html_tree.parse(page)) == "some text"
+    inner = "<article><h1>t</h1><div class='post related'><p>kept</div><div class=related>no</div><section id=comments><article class=comment>no</article></section></article>"
+    assert html_tree.main_text(html_tree.parse(inner)) == "t\n\nkept"
+    assert html_tree.main_text(html_tree.parse(f"<div class='sidebar-layout'>{inner}<p>no</div>")) == "t\n\nkept"
+
+
 # -- near-duplicates
 
 
