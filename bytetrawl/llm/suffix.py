@@ -2,14 +2,16 @@
 
 Only strings of LENGTH bytes are compared. Each such string is put in the bucket of its anchor, the byte run of GRAM bytes in it
 that has the smallest hash (the leftmost of them), so equal strings share a bucket and lie alike around the anchor. The strings
-of one anchor are a block of text. Buckets are counted first: an anchor that occurs once has no partner and is dropped, and equal
-blocks are repeated as a whole and kept once. What is left is sorted one bucket at a time. Blocks are laid out so that anchors
-stand at multiples of COVER; suffixes are ordered by their first COVER bytes, and longer ties by the rank, precomputed by
-doubling, of the next position that belongs to the difference cover. Equal strings have equal shifts to the cover, so they
-become neighbours, and neighbours are compared on all LENGTH bytes.
-
-Anchors with more than HOT distinct blocks (a passage's ends in very many texts) would make buckets that no task should hold; their
-strings are dealt out one by one by a hash and counted, with map-side sums.
+of one anchor are a block of text. Blocks that are equal, by 128-bit digests of their bytes, are repeated as a whole, and one of them
+stands for all. An anchor with one kind of block is done with that; the blocks of others are sorted, one bucket at a time. Blocks are
+laid out so that anchors stand at multiples of COVER; suffixes are ordered by their first COVER bytes, and longer ties by the rank,
+precomputed by doubling, of the next position that belongs to the difference cover. Equal strings have equal shifts to the cover, so
+they become neighbours, and neighbours are compared on all LENGTH bytes.
+
+A bucket of more than MOST_BLOCKS kinds is divided by further bytes: its strings are halved by how far before the anchor they start,
+which makes two pieces of each block, and the strings of a piece share more bytes around the anchor than those of the block; these
+bytes are the bucket of the piece. That goes on until buckets are small enough, at the latest when a piece is a single string, and pieces
+without a partner are dropped on the way. Sorting is the same for buckets of any origin.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, filled, mix64, powers, prepare, segment_hashes, written
+from .common import _INVERSE, filled, mix64, powers, prepare, written
 
-LENGTH, GRAM, COVER, HOT = 200, 64, 32, 10_000
-#: Blocks in a bucket, on average.
-BUCKET_BLOCKS = 2000
+LENGTH, GRAM, COVER = 200, 64, 32
+#: Blocks that are sorted together, on average; buckets of more than MOST_BLOCKS kinds are divided first.
+BUCKET_BLOCKS, MOST_BLOCKS = 2000, 2000
 #: Bytes whose anchors are found at once; positions there must fit in 24 bits.
 PART_BYTES = 1 << 22
 
@@ -48,9 +50,9 @@ _SHIFT = np.array([min((c - r) % COVER for c in _COVER) for r in range(COVER)])
 
 
 def anchors(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts that end at limits in data: the text, anchor, first and last string start of each block, and hashes of anchor and block."""
+    """Of texts that end at limits in data: the text, anchor, first and last string start of each block, and the hash of its anchor."""
     n = len(data)
-    empty = tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+    empty = tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     if n < LENGTH:
         return empty
     byte = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -75,8 +77,13 @@ def anchors(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     first, last = start[new], start[np.concatenate([new[1:] - 1, [len(start) - 1]])]
     a = at[new]
-    block = segment_hashes(data, first, last + LENGTH) + mix64((a - first).astype(np.uint64) + np.uint64(77))
-    return text[new], a, first, last, grams[a], block
+    return text[new], a, first, last, grams[a]
+
+
+def digests(blocks: list[bytes], anchor: np.ndarray) -> np.ndarray:
+    """128 bits of each block and the place of its anchor in it, as two numbers."""
+    raw = b"".join(hashlib.blake2b(b, digest_size=16, salt=int(x).to_bytes(4, "little")).digest() for b, x in zip(blocks, anchor, strict=True))
+    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
 
 
 def _parts(raw: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -98,7 +105,7 @@ def _long_parts(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield at, data[at : at + step + LENGTH - 1]
 
 
-def sorted_repeats(blocks: list[bytes], anchor: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+def sorted_repeats(blocks: list[bytes], anchor: np.ndarray) -> list[np.ndarray]:
     """Which strings of each block, from its first on, stand in another block of the bucket too. anchor: where it stands in a block."""
     size = np.array([len(b) for b in blocks])
     begin = np.zeros(len(blocks), dtype=np.int64)
@@ -168,91 +175,126 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    flags = sorted_repeats([bytes(b) for b in pdf["block"]], pdf["anchor"].to_numpy(), pdf["c"].to_numpy())
-    for u, first, own in zip(pdf["u"], pdf["first"], flags, strict=True):
-        rows += [(u, first + s, first + e - 1 + LENGTH) for s, e in _runs(own)]
-    return pd.DataFrame(rows, columns=["u", "s", "e"])
+    flags = sorted_repeats([bytes(b) for b in pdf["block"]], pdf["anchor"].to_numpy())
+    for u0, u1, first, own in zip(pdf["u0"], pdf["u1"], pdf["first"], flags, strict=True):
+        rows += [(u0, u1, first + s, first + e - 1 + LENGTH) for s, e in _runs(own)]
+    return pd.DataFrame(rows, columns=["u0", "u1", "s", "e"])
+
+
+_CUT = "key long, lo short, hi short, h0 long, h1 long, u0 long, u1 long, first int, strings short, anchor short, block binary"
+_NAMES = [c.split()[0] for c in _CUT.split(", ")]
+_SPAN = "u0 long, u1 long, s int, e int"
+
+
+def halves(block: bytes, first: int, strings: int, anchor: int, lo: int, hi: int) -> Iterator[tuple[int, int, bytes, int, int, int, bytes]]:
+    """The two pieces of a block whose strings start lo to hi bytes before the anchor: lo, hi, the bytes that all their strings share, first, strings, anchor, block."""
+    middle = (lo + hi) // 2
+    for low, high in ((lo, middle), (middle + 1, hi)):
+        a, b = max(anchor - high, 0), min(anchor - low, strings - 1)  # first and last string
+        if low <= high and a <= b:
+            yield low, high, block[anchor - low : anchor + LENGTH - high], first + a, b - a + 1, anchor - a, block[a : b + LENGTH]
+
+
+def _divided(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pieces of the blocks of large buckets, one of each kind, and the spans of those that equal another."""
+
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in filled(batches):
+            rows: list[tuple] = []
+            for key, lo, hi, u0, u1, first, strings, anchor, block in zip(*(pdf[c] for c in ("key", "lo", "hi", "u0", "u1", "first", "strings", "anchor", "block")), strict=True):
+                for low, high, shared, own_first, own_strings, own_anchor, piece in halves(bytes(block), int(first), int(strings), int(anchor), int(lo), int(hi)):
+                    own = hashlib.blake2b(shared, digest_size=8, salt=bytes([low, high]), key=int(key).to_bytes(8, "little", signed=True)).digest()
+                    (h,) = digests([piece], np.array([own_anchor]))
+                    rows.append((int.from_bytes(own, "little", signed=True), low, high, int(h[0]), int(h[1]), u0, u1, own_first, own_strings, own_anchor, piece))
+                if len(rows) >= 4000:
+                    yield pd.DataFrame(rows, columns=_NAMES)
+                    rows = []
+            yield pd.DataFrame(rows, columns=_NAMES)
+
+    pieces = written(hot.select(*_NAMES).mapInPandas(divide, _CUT), "pieces")
+    counted = pieces.groupBy(F.col("key").alias("k"), F.col("h0").alias("g0"), F.col("h1").alias("g1")).agg(F.count("*").alias("c"))
+    same = (F.col("key") == F.col("k")) & (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1"))
+    spans = pieces.join(counted.where("c > 1"), same, "left_semi").select("u0", "u1", F.col("first").alias("s"), (F.col("first") + F.col("strings") - 1 + LENGTH).cast("int").alias("e"))
+    kinds = counted.groupBy("k").agg(F.count("*").alias("d")).where("d > 1").select("k")
+    one = F.min(F.struct("u0", "u1", "first", "lo", "hi", "strings", "anchor")).alias("one")
+    chosen = pieces.join(kinds, F.col("key") == F.col("k"), "left_semi").groupBy("key", "h0", "h1").agg(one).select("key", "h0", "h1", "one.*")
+    at = ["key", "h0", "h1", "u0", "u1", "first"]
+    return pieces.join(chosen.select(*at).distinct(), at, "left_semi").dropDuplicates(at).select(*_NAMES), spans
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """u and [s, e) byte spans that repeated strings cover in the texts of rows (u, text); spans can overlap."""
-    spark = rows.sparkSession
+    """u0, u1 and [s, e) byte spans that repeated strings cover in the texts of rows (u0, u1, text); spans can overlap."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-            us = pdf["u"].to_numpy()
+            u0, u1 = pdf["u0"].to_numpy(), pdf["u1"].to_numpy()
             for i, data, limits in _parts(raw):
                 begins = np.concatenate([[0], limits[:-1]])
                 for off, part in _long_parts(data):
-                    text, a, first, last, fp, block = anchors(part, limits - off if off == 0 and len(part) == len(data) else np.array([len(part)]))
-                    base = begins[text] if len(limits) > 1 else np.full(len(text), -off)
-                    yield pd.DataFrame({"fp": fp.astype(np.uint64).view(np.int64), "bh": block.astype(np.uint64).view(np.int64), "u": us[i + text] if len(limits) > 1 else np.full(len(text), us[i]), "first": (first - base).astype(np.int32), "strings": (last - first + 1).astype(np.int16), "anchor": (a - first).astype(np.int16)})
-
-    blocks = written(rows.mapInPandas(find, "fp long, bh long, u long, first int, strings short, anchor short"), "anchors")
-    counted = blocks.groupBy("fp").agg(F.count("*").alias("n"), F.min("bh").alias("b0"), F.max("bh").alias("b1")).where("n > 1")
-    counted = counted.select(F.col("fp").alias("f"), (F.col("b0") == F.col("b1")).alias("alike"))
-    shared = written(blocks.join(counted, F.col("fp") == F.col("f")).drop("f"), "shared")
-    whole = F.col("first") + F.col("strings") - 1 + LENGTH
-    spans = shared.where("alike").select("u", F.col("first").alias("s"), whole.alias("e"))
-
-    # Anchors with several blocks: equal blocks are repeated as a whole, and one of them stands for all.
-    mixed = shared.where("not alike")
-    kinds = written(mixed.groupBy("fp", "bh").agg(F.count("*").alias("c"), F.min(F.struct("u", "first", "strings", "anchor")).alias("one")), "kinds")
-    many = kinds.where("c > 1").select(F.col("fp").alias("f"), F.col("bh").alias("b"))
-    spans = spans.unionAll(mixed.join(many, (F.col("fp") == F.col("f")) & (F.col("bh") == F.col("b")), "left_semi").select("u", F.col("first").alias("s"), whole.alias("e")))
-    sizes = kinds.groupBy("fp").agg(F.count("*").alias("d")).select(F.col("fp").alias("f"), "d")
-    wanted = kinds.join(sizes, F.col("fp") == F.col("f")).select("fp", "c", (F.col("d") > HOT).alias("hot"), "one.*")
-    by_text = wanted.groupBy(F.col("u").alias("w")).agg(F.collect_list(F.struct("fp", "c", "hot", "first", "strings", "anchor")).alias("cuts"))
-    texts = rows.join(by_text, F.col("u") == F.col("w")).select("u", "text", "cuts")
+                    text, a, first, last, fp = anchors(part, limits - off if off == 0 and len(part) == len(data) else np.array([len(part)]))
+                    many = len(limits) > 1
+                    base = begins[text] if many else np.full(len(text), -off)
+                    whole = part.tobytes()
+                    h = digests([whole[x : y + LENGTH] for x, y in zip(first.tolist(), last.tolist(), strict=True)], a - first)
+                    own = i + text if many else np.full(len(text), i)
+                    yield pd.DataFrame({"fp": fp.astype(np.uint64).view(np.int64), "h0": h[:, 0], "h1": h[:, 1], "u0": u0[own], "u1": u1[own], "first": (first - base).astype(np.int32), "strings": (last - first + 1).astype(np.int16), "anchor": (a - first).astype(np.int16)})
+
+    blocks = written(rows.mapInPandas(find, "fp long, h0 long, h1 long, u0 long, u1 long, first int, strings short, anchor short"), "anchors")
+    # Copies are summed before they are shuffled, and joins by digests are such that Spark can split their large partitions.
+    kinds = blocks.groupBy("fp", "h0", "h1").agg(F.count("*").alias("c"))
+    kinds = written(kinds, "kinds")
+    sizes = kinds.groupBy(F.col("fp").alias("f")).agg(F.count("*").alias("d"), F.sum("c").alias("n")).where("n > 1").select("f", "d")
+    shared = kinds.join(sizes, F.col("fp") == F.col("f")).where("c > 1 or d > 1").select(F.col("fp").alias("f"), F.col("h0").alias("g0"), F.col("h1").alias("g1"), "c", "d")
+    same = (F.col("fp") == F.col("f")) & (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1"))
+    shared = written(blocks.join(shared, same).drop("f", "g0", "g1"), "shared")
+    spans = shared.where("c > 1").select("u0", "u1", F.col("first").alias("s"), (F.col("first") + F.col("strings") - 1 + LENGTH).cast("int").alias("e"))
+
+    # Of anchors with several kinds of blocks, one block of each kind is sorted.
+    wanted = shared.where("d > 1").groupBy("fp", "h0", "h1").agg(F.min(F.struct("u0", "u1", "first", "strings", "anchor")).alias("one")).select("fp", "h0", "h1", "one.*")
+    by_text = wanted.groupBy(F.col("u0").alias("w0"), F.col("u1").alias("w1")).agg(F.collect_list(F.struct("fp", "h0", "h1", "first", "strings", "anchor")).alias("cuts"))
+    texts = rows.join(by_text, (F.col("u0") == F.col("w0")) & (F.col("u1") == F.col("w1"))).select("u0", "u1", "text", "cuts")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
             out: list[tuple] = []
-            for u, text, cuts in zip(pdf["u"], pdf["text"], pdf["cuts"], strict=True):
+            for u0, u1, text, cuts in zip(pdf["u0"], pdf["u1"], pdf["text"], pdf["cuts"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for c in cuts:
-                    out.append((c["fp"], c["c"], c["hot"], u, c["first"], c["anchor"], raw[c["first"] : c["first"] + c["strings"] - 1 + LENGTH]))
+                    out.append((c["fp"], 0, LENGTH - GRAM, c["h0"], c["h1"], u0, u1, c["first"], c["strings"], c["anchor"], raw[c["first"] : c["first"] + c["strings"] - 1 + LENGTH]))
                     if len(out) >= 2000:
-                        yield pd.DataFrame(out, columns=names)
+                        yield pd.DataFrame(out, columns=_NAMES)
                         out = []
-            yield pd.DataFrame(out, columns=names)
-
-    names = ["fp", "c", "hot", "u", "first", "anchor", "block"]
-    cuts = written(texts.mapInPandas(cut, "fp long, c long, hot boolean, u long, first int, anchor short, block binary"), "cuts")
-    buckets = max(1, cuts.where("not hot").count() // BUCKET_BLOCKS)
-    cold = cuts.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("fp"), F.lit(buckets)))
-    spans = spans.unionAll(cold.groupBy("bucket").applyInPandas(_in_bucket, "u long, s int, e int"))
-    return spans.unionAll(_hot_spans(cuts.where("hot")))
-
-
-def _hot_spans(hot: DataFrame) -> DataFrame:
-    """Spans of the strings of hot anchors that stand in more than one block, by two hashes of each string."""
-
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in filled(batches):
-            for fp, c, u, first, block in zip(pdf["fp"], pdf["c"], pdf["u"], pdf["first"], pdf["block"], strict=True):
-                data = np.frombuffer(block, dtype=np.uint8)
-                s = np.arange(len(data) - LENGTH + 1)
-                h = segment_hashes(data, s, s + LENGTH).view(np.int64)
-                yield pd.DataFrame({"fp": np.full(len(s), fp), "h": h, "c": np.full(len(s), c), "u": np.full(len(s), u), "s": (first + s).astype(np.int32)})
-
-    rows = hot.select("fp", "c", "u", "first", "block").mapInPandas(strings, "fp long, h long, c long, u long, s int")
-    again = rows.groupBy("fp", "h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("f"), F.col("h").alias("g"))
-    found = rows.join(again, (F.col("fp") == F.col("f")) & (F.col("h") == F.col("g")), "left_semi")
-    return found.select("u", "s", (F.col("s") + LENGTH).alias("e"))
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    cuts = written(texts.mapInPandas(cut, _CUT), "cuts")
+    while True:
+        sizes = written(cuts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("d")), "sizes")
+        hot = sizes.where(F.col("d") > MOST_BLOCKS)
+        n_cold, n_hot = sizes.agg(F.sum(F.when(F.col("d") <= MOST_BLOCKS, F.col("d")).otherwise(0)), F.sum((F.col("d") > MOST_BLOCKS).cast("long"))).first()
+        cold = cuts.join(hot, F.col("key") == F.col("k"), "left_anti") if n_hot else cuts
+        if n_cold:
+            buckets = max(1, n_cold // BUCKET_BLOCKS)
+            spans = spans.unionAll(cold.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(_in_bucket, _SPAN))
+        if not n_hot:
+            return spans
+        cuts, equal = _divided(cuts.join(hot, F.col("key") == F.col("k"), "left_semi"))
+        cuts = written(cuts, "cuts")
+        spans = spans.unionAll(equal)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row: bytes that any repeated string covers are removed.
 
-    A null text is empty; null doc_ids are kept; texts of fewer than LENGTH bytes stay whole; repeated rows repeat each other; other
-    columns are left out; an empty table gives an empty table.
+    A null text is empty; null doc_ids are kept; texts of fewer than LENGTH bytes stay whole, and longer ones are read whole, whatever
+    their length; repeated rows repeat each other, and all places of a tie are removed; other columns are left out and may have any name; an
+    empty table gives an empty table.
     """
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("u"))
-    spans = repeated_spans(rows.where(F.octet_length("text") >= LENGTH).select("u", "text"))
-    by_text = spans.groupBy(F.col("u").alias("w")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    # Two differently seeded hashes name a row; rows that agree in doc_id and text are one and have one result.
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("u0"), F.xxhash64(F.lit(1), "text", "doc_id").alias("u1"))
+    spans = repeated_spans(rows.where(F.octet_length("text") >= LENGTH).select("u0", "u1", "text"))
+    by_text = spans.groupBy(F.col("u0").alias("w0"), F.col("u1").alias("w1")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
@@ -276,5 +318,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out
 
-    joined = rows.join(by_text, F.col("u") == F.col("w"), "left").select("doc_id", "text", "spans")
+    joined = rows.join(by_text, (F.col("u0") == F.col("w0")) & (F.col("u1") == F.col("w1")), "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

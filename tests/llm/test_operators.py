@@ -171,13 +171,40 @@ def test_suffix(spark, docs, texts, monkeypatch):
     rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
     all_rows = [(t[0], t[1]) for t in texts] + more
     want = sorted(map(repr, zip((i for i, _ in all_rows), plain_repeats([(t or "").encode() for _, t in all_rows]), strict=True)))
-    for hot in (256, 3):
-        monkeypatch.setattr(suffix, "HOT", hot)
+    for most in (2000, 3):
+        monkeypatch.setattr(suffix, "MOST_BLOCKS", most)
         got = suffix.without_repeats(rows).collect()
         assert sorted(repr((g.doc_id, (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256))) for g in got) == want
     assert suffix.without_repeats(rows.limit(0)).count() == 0
 
 
+def test_hot_anchors(spark):
+    """A passage in more texts than a bucket may hold, with other bytes on both sides, some of them shared."""
+    r = random.Random(9)
+    passage = invented(r, 70)[:230]
+    sides = [invented(r, 8) for _ in range(300)]
+    rows = [(i, f"{r.choice(sides)} {i * 7919 % 10007} {passage} {i * 104729 % 10007} {r.choice(sides)}") for i in range(suffix.MOST_BLOCKS + 300)]
+    got = sorted((g.doc_id, (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256)) for g in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    want = list(zip((i for i, _ in rows), plain_repeats([t.encode() for _, t in rows]), strict=True))
+    assert got == want and all(g[1][1] >= 230 for g in got)
+
+
+def test_halves():
+    """The pieces of a block hold each of its strings once, and the bytes that they share."""
+    text = bytes(random.Random(1).randrange(256) for _ in range(336))
+    todo, seen = [(text, 0, 137, 136, 0, 136)], []
+    while todo:
+        block, first, strings, anchor, lo, hi = todo.pop()
+        for low, high, shared, f, n, a, piece in suffix.halves(block, first, strings, anchor, lo, hi):
+            assert piece == text[f : f + n + 199] and f + a == 136 and all(shared in text[i : i + 200] for i in range(f, f + n))
+            if n == 1 and low == high:
+                assert shared == piece
+                seen.append(f)
+            else:
+                todo.append((piece, f, n, a, low, high))
+    assert sorted(seen) == list(range(137))
+
+
 def test_cover():
     for v in (8, 32, 64):
         c = suffix.difference_cover(v)
