@@ -52,11 +52,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: computed once, with short lineage, and safe against lost executors."""
+    """The rows of df as a table in the shared folder: computed once, with short lineage, and safe against lost executors.
+
+    The job runs when this is called, while the plan that reads the table is still being made. The table stays, as a returned plan may read
+    it later; those that only intermediate steps read are given to discard().
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that written() made and that no later step reads."""
+    path = _PATHS.pop(id(table), None)
+    if path is not None:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

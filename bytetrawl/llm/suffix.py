@@ -2,8 +2,8 @@
 
 Only strings of LENGTH bytes are compared. Each such string is put in the bucket of its anchor, the byte run of GRAM bytes in it
 that has the smallest hash (the leftmost of them), so equal strings share a bucket and lie alike around the anchor. The strings
-of one anchor are a block of text. Blocks that are equal, by 128-bit digests of their bytes, are repeated as a whole, and one of them
-stands for all. An anchor with one kind of block is done with that; the blocks of others are sorted, one bucket at a time. Blocks are
+of one anchor are a block of text. Blocks of an anchor that are equal, by 96-bit digests of their bytes, are repeated as a whole, and
+one of them stands for all. An anchor with one kind of block is done with that; the blocks of others are sorted, one bucket at a time. Blocks are
 laid out so that anchors stand at multiples of COVER; suffixes are ordered by their first COVER bytes, and longer ties by the rank,
 precomputed by doubling, of the next position that belongs to the difference cover. Equal strings have equal shifts to the cover, so
 they become neighbours, and neighbours are compared on all LENGTH bytes.
@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, filled, mix64, powers, prepare, written
+from .common import _INVERSE, discard, filled, mix64, powers, prepare, written
 
 LENGTH, GRAM, COVER = 200, 64, 32
 #: Blocks that are sorted together, on average; buckets of more than MOST_BLOCKS kinds are divided first.
@@ -81,9 +81,9 @@ def anchors(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def digests(blocks: list[bytes], anchor: np.ndarray) -> np.ndarray:
-    """128 bits of each block and the place of its anchor in it, as two numbers."""
-    raw = b"".join(hashlib.blake2b(b, digest_size=16, salt=int(x).to_bytes(4, "little")).digest() for b, x in zip(blocks, anchor, strict=True))
-    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+    """96 bits of each block and the place of its anchor in it, as two numbers h0 and h1."""
+    raw = b"".join(hashlib.blake2b(b, digest_size=12, salt=int(x).to_bytes(4, "little")).digest() for b, x in zip(blocks, anchor, strict=True))
+    return np.frombuffer(raw, dtype=np.dtype([("h0", "<i8"), ("h1", "<i4")]))
 
 
 def _parts(raw: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -181,7 +181,7 @@ def _in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["u0", "u1", "s", "e"])
 
 
-_CUT = "key long, lo short, hi short, h0 long, h1 long, u0 long, u1 long, first int, strings short, anchor short, block binary"
+_CUT = "key long, lo short, hi short, h0 long, h1 int, u0 long, u1 long, first int, strings short, anchor short, block binary"
 _NAMES = [c.split()[0] for c in _CUT.split(", ")]
 _SPAN = "u0 long, u1 long, s int, e int"
 
@@ -205,7 +205,7 @@ def _divided(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for low, high, shared, own_first, own_strings, own_anchor, piece in halves(bytes(block), int(first), int(strings), int(anchor), int(lo), int(hi)):
                     own = hashlib.blake2b(shared, digest_size=8, salt=bytes([low, high]), key=int(key).to_bytes(8, "little", signed=True)).digest()
                     (h,) = digests([piece], np.array([own_anchor]))
-                    rows.append((int.from_bytes(own, "little", signed=True), low, high, int(h[0]), int(h[1]), u0, u1, own_first, own_strings, own_anchor, piece))
+                    rows.append((int.from_bytes(own, "little", signed=True), low, high, int(h['h0']), int(h['h1']), u0, u1, own_first, own_strings, own_anchor, piece))
                 if len(rows) >= 4000:
                     yield pd.DataFrame(rows, columns=_NAMES)
                     rows = []
@@ -238,16 +238,16 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                     whole = part.tobytes()
                     h = digests([whole[x : y + LENGTH] for x, y in zip(first.tolist(), last.tolist(), strict=True)], a - first)
                     own = i + text if many else np.full(len(text), i)
-                    yield pd.DataFrame({"fp": fp.astype(np.uint64).view(np.int64), "h0": h[:, 0], "h1": h[:, 1], "u0": u0[own], "u1": u1[own], "first": (first - base).astype(np.int32), "strings": (last - first + 1).astype(np.int16), "anchor": (a - first).astype(np.int16)})
+                    yield pd.DataFrame({"fp": fp.astype(np.uint64).view(np.int64), "h0": h["h0"], "h1": h["h1"], "u0": u0[own], "u1": u1[own], "first": (first - base).astype(np.int32), "strings": (last - first + 1).astype(np.int16), "anchor": (a - first).astype(np.int16)})
 
-    blocks = written(rows.mapInPandas(find, "fp long, h0 long, h1 long, u0 long, u1 long, first int, strings short, anchor short"), "anchors")
+    blocks = written(rows.mapInPandas(find, "fp long, h0 long, h1 int, u0 long, u1 long, first int, strings short, anchor short"), "anchors")
     # Copies are summed before they are shuffled, and joins by digests are such that Spark can split their large partitions.
     kinds = blocks.groupBy("fp", "h0", "h1").agg(F.count("*").alias("c"))
-    kinds = written(kinds, "kinds")
     sizes = kinds.groupBy(F.col("fp").alias("f")).agg(F.count("*").alias("d"), F.sum("c").alias("n")).where("n > 1").select("f", "d")
     shared = kinds.join(sizes, F.col("fp") == F.col("f")).where("c > 1 or d > 1").select(F.col("fp").alias("f"), F.col("h0").alias("g0"), F.col("h1").alias("g1"), "c", "d")
     same = (F.col("fp") == F.col("f")) & (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1"))
     shared = written(blocks.join(shared, same).drop("f", "g0", "g1"), "shared")
+    discard(blocks)
     spans = shared.where("c > 1").select("u0", "u1", F.col("first").alias("s"), (F.col("first") + F.col("strings") - 1 + LENGTH).cast("int").alias("e"))
 
     # Of anchors with several kinds of blocks, one block of each kind is sorted.
@@ -291,8 +291,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     empty table gives an empty table.
     """
     prepare(docs.sparkSession)
-    # Two differently seeded hashes name a row; rows that agree in doc_id and text are one and have one result.
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("u0"), F.xxhash64(F.lit(1), "text", "doc_id").alias("u1"))
+    # A row is named by its doc_id and a hash of its text; rows that agree in doc_id and text are one and have one result.
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).cast("long").alias("u0"), F.xxhash64("text", F.col("doc_id").isNull()).alias("u1"))
     spans = repeated_spans(rows.where(F.octet_length("text") >= LENGTH).select("u0", "u1", "text"))
     by_text = spans.groupBy(F.col("u0").alias("w0"), F.col("u1").alias("w1")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
