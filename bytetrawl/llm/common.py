@@ -61,16 +61,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = path
+    out._written_to = path  # type: ignore[attr-defined]
     return out
 
 
-_PATHS: dict[int, str] = {}
-
-
 def discard(table: DataFrame) -> None:
     """Delete a table that written() made and that no later step reads."""
-    path = _PATHS.pop(id(table), None)
+    path = getattr(table, "_written_to", None)
     if path is not None:
         spark = table.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]

@@ -377,3 +377,18 @@ def one_of_each(docs: DataFrame, least: int) -> DataFrame:
         several = kept.join(repeated, same, "left_semi").withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).drop(at)
         kept = kept.join(repeated, same, "left_anti").unionByName(several)
     return kept.drop(digest)
+
+
+_SPACES = r"[\x20\x09-\x0D]+"
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACES}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+kinds AS (SELECT list_sort(s) AS k, min(doc_id) AS node, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY ALL),
+one AS (SELECT node, n, unnest(k) AS x FROM kinds),
+links AS (SELECT a.node AS a, b.node AS b FROM one a JOIN one b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, b AS other FROM pairs UNION SELECT r.node, pairs.b FROM reach r JOIN pairs ON r.other = pairs.a),
+least AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(k.node, l.m), k.node, s.doc_id) AS component_id, s.doc_id = coalesce(least(k.node, l.m), k.node, s.doc_id) AS kept
+FROM s LEFT JOIN kinds k ON list_sort(s.s) = k.k LEFT JOIN least l ON k.node = l.node
+"""

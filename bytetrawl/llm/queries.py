@@ -81,5 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op6_decontamination": decontam.ORACLE,
+    "op10_minhash": minhash.ORACLE,
 }

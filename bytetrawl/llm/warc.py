@@ -11,12 +11,17 @@ or version line after its start is searched for, and the bytes up to there are l
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+import mmap
 import re
+import shutil
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +32,10 @@ from .common import filled, new_path, prepare
 _END = b"\r\n\r\n"
 _NEXT = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|WARC/1\.[01]\r\n")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Payload bytes of pages in an archive, roughly; an archive must fit in a task's memory several times.
+#: Payload bytes in an archive, on average; a task goes on to its next archive then.
 ARCHIVE_BYTES = 8 << 20
+#: Archives from this length on are read through a mapped copy on the task's own disk, and not as a value.
+MAPPED_BYTES = 1 << 30
 
 
 def digest(payload: bytes) -> str:
@@ -79,7 +86,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Of rows with equal payloads of at least least_bytes, that with the largest page_id is a response and others revisit it. Where
     several rows have that page_id, all of them are responses. A null html is empty; rows with a null page_id are responses if no
-    row with the payload has a page_id.
+    row with the payload has a page_id. Long payloads are written whole. Other columns are left out and may have any name; an empty
+    table gives no records.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -99,7 +107,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
             yield pd.DataFrame({"value": out})
 
     packed = of.select("page_id", "url", "payload", "last", revisit.alias("revisit")).mapInPandas(pack, "value binary")
-    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("payload"))).first()
+    records = max(1, ARCHIVE_BYTES * n // max(size or 0, 1)) if n else 1
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", min(records, 1 << 30)).text(path)
 
 
 @dataclass
@@ -110,7 +120,7 @@ class Salvage:
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def parse(data: bytes, at: int = 0, check: bool = True) -> tuple[dict[str, str], bytes, int]:
+def parse(data: bytes | mmap.mmap, at: int = 0, check: bool = True) -> tuple[dict[str, str], bytes, int]:
     """The header, block and end of the record at an offset; ValueError says what is wrong."""
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
         raise ValueError("no version line")
@@ -136,15 +146,14 @@ def parse(data: bytes, at: int = 0, check: bool = True) -> tuple[dict[str, str],
     return head, block, stop + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
+def inflate(data: bytes | mmap.mmap, at: int) -> tuple[bytes, int]:
     """The content and end of the gzip member at an offset, with its checksum tested."""
     d = zlib.decompressobj(31)
-    view = memoryview(data)
     out = []
     pos = at
     try:
         while not d.eof and pos < len(data):
-            out.append(d.decompress(view[pos : pos + (1 << 16)]))
+            out.append(d.decompress(data[pos : pos + (1 << 16)]))
             pos = min(pos + (1 << 16), len(data))
     except zlib.error as e:
         raise ValueError("bad member") from e
@@ -153,67 +162,132 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), pos - len(d.unused_data)
 
 
-def salvage(data: bytes) -> Salvage:
-    """Every record of an archive that passes its checks, gzipped or not, and the gaps between them."""
-    out, at, lost, reason = Salvage(), 0, -1, ""
-    while at < len(data):
-        found: list[tuple[int, dict[str, str], bytes]] = []
+@dataclass(frozen=True)
+class Record:
+    start: int
+    head: dict[str, str]
+    block: bytes
+
+
+@dataclass(frozen=True)
+class Gap:
+    start: int
+    end: int
+    reason: str
+
+
+def salvaged(data: bytes | mmap.mmap) -> Iterator[Record | Gap]:
+    """Every record of an archive that passes its checks, gzipped or not, and the gaps between them, in order."""
+    at, lost, reason, n = 0, -1, "", len(data)
+    while at < n:
+        held: list[Record] = []
+        damage = ""
         try:
             if data[at : at + 2] == b"\x1f\x8b":
                 content, end = inflate(data, at)
                 pos = 0
                 while pos < len(content):
                     head, block, pos = parse(content, pos)
-                    found.append((at, head, block))
+                    held.append(Record(at, head, block))
             else:
                 head, block, end = parse(data, at)
-                found.append((at, head, block))
+                held.append(Record(at, head, block))
         except ValueError as e:
+            damage = str(e)
+        if damage:
             if lost < 0:
-                lost, reason = at, str(e)
-            out.records += found  # records of a member that come before the damage
+                lost, reason = at, damage
+            yield from held  # records of a member that come before the damage
             m = _NEXT.search(data, at + 1)
-            at = m.start() if m else len(data)
+            at = m.start() if m else n
             continue
         if lost >= 0:
-            out.gaps.append((lost, at, reason))
+            yield Gap(lost, at, reason)
             lost = -1
-        out.records += found
+        yield from held
         at = end
     if lost >= 0:
-        out.gaps.append((lost, len(data), reason))
+        yield Gap(lost, n, reason)
+
+
+def salvage(data: bytes) -> Salvage:
+    """All of them together."""
+    out = Salvage()
+    for x in salvaged(data):
+        if isinstance(x, Gap):
+            out.gaps.append((x.start, x.end, x.reason))
+        else:
+            out.records.append((x.start, x.head, x.block))
     return out
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+@contextlib.contextmanager
+def _mapped(path: str) -> Iterator[mmap.mmap]:
+    """An archive of any length as bytes that are read when they are looked at."""
+    from pyarrow import fs
+
+    local = re.sub("^file:/+", "/", path)
+    with contextlib.ExitStack() as stack:
+        if local.startswith("/"):
+            f = stack.enter_context(open(local, "rb"))
+        else:
+            system, name = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+            f = stack.enter_context(tempfile.TemporaryFile())  # this task's own copy, gone with it
+            shutil.copyfileobj(stack.enter_context(system.open_input_stream(name)), f, 1 << 20)
+            f.flush()
+        yield stack.enter_context(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+
+class Damaged(ValueError):
+    """An archive with bytes that are no whole records."""
+
+
+def read_archives(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Records and gaps of archives: path, start, end (gaps only), kind (record or gap), type, page_id, url, payload, payload_bytes, payload_digest, refers_to, reason.
 
-    A file is read whole by one task, so archives should be as small as ARCHIVE_BYTES says.
+    Damaged records are left out, and each stretch of such bytes is a gap; strict: the first gap is an error instead, as a result without
+    its records wouldn't be whole. A task reads an archive from start to end, as a record's start is known only from the one before it.
     """
     prepare(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = spark.read.format("binaryFile").load(path)
+    small = found.where(F.col("length") < MAPPED_BYTES).select("path", "content")
+    files = small.unionByName(found.where(F.col("length") >= MAPPED_BYTES).select("path", F.lit(None).cast("binary").alias("content")))
 
     def number(value: str | None) -> int | None:
         return int(value) if value is not None and re.fullmatch(r"-?\d{1,19}", value) else None
 
+    columns = ["path", "start", "end", "kind", "type", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "reason"]
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        part = pd.DataFrame(rows, columns=columns)
+        for c in ("start", "end", "page_id", "payload_bytes", "refers_to"):
+            part[c] = part[c].astype("Int64").to_numpy(dtype=object, na_value=None)
+        return part
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "start", "end", "kind", "type", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "reason"]
         for pdf in filled(batches):
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                got = salvage(bytes(content))
-                rows: list[tuple] = []
-                for at, head, block in got.records:
-                    payload = block[block.find(_END) + 4 :] if head.get("content-type", "").startswith("application/http") else block
-                    kind = head.get("warc-type")
-                    size = number(head.get("x-payload-length")) if kind == "revisit" else len(payload)
-                    sha = head.get("warc-payload-digest", "")[5:] if kind == "revisit" else digest(payload)
-                    rows.append((name, at, None, "record", kind, number(head.get("x-page-id")), head.get("warc-target-uri"), payload, size, sha, number(head.get("x-refers-to-page-id")), None))
-                rows += [(name, a, b, "gap", None, None, None, None, b - a, None, None, why) for a, b, why in got.gaps]
-                for i in range(0, len(rows), 500):
-                    part = pd.DataFrame(rows[i : i + 500], columns=columns)
-                    for c in ("start", "end", "page_id", "payload_bytes", "refers_to"):
-                        part[c] = part[c].astype("Int64").to_numpy(dtype=object, na_value=None)
-                    yield part
+                with contextlib.nullcontext(bytes(content)) if content is not None else _mapped(name) as data:
+                    rows: list[tuple] = []
+                    size = 0
+                    for x in salvaged(data):
+                        if isinstance(x, Gap):
+                            if strict:
+                                raise Damaged(f"{name}, bytes {x.start} to {x.end}: {x.reason}")
+                            rows.append((name, x.start, x.end, "gap", None, None, None, None, x.end - x.start, None, None, x.reason))
+                            continue
+                        head, block = x.head, x.block
+                        payload = block[block.find(_END) + 4 :] if head.get("content-type", "").startswith("application/http") else block
+                        kind = head.get("warc-type")
+                        own = number(head.get("x-payload-length")) if kind == "revisit" else len(payload)
+                        sha = head.get("warc-payload-digest", "")[5:] if kind == "revisit" else digest(payload)
+                        rows.append((name, x.start, None, "record", kind, number(head.get("x-page-id")), head.get("warc-target-uri"), payload, own, sha, number(head.get("x-refers-to-page-id")), None))
+                        size += len(payload)
+                        if len(rows) >= 500 or size > 16 << 20:
+                            yield table(rows)
+                            rows, size = [], 0
+                    if rows:
+                        yield table(rows)
 
     return files.mapInPandas(read, "path string, start long, end long, kind string, type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long, reason string")
 
@@ -221,11 +295,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Write pages as archives, read these back, and return page_id, payload_bytes, payload_digest, record_type and refers_to of each record.
 
-    Null html is an empty payload; null urls have no header; an empty table gives an empty table; repeated rows give repeated
-    records; other columns are left out.
+    Null html is an empty payload; null urls have no header; of equal payloads (ties) the largest page_id is the response; an empty table gives an
+    empty table; repeated rows give repeated records; other columns are left out. Damage to an archive in between is an error.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
-    got = read_archives(spark, path).where("kind = 'record'")
+    got = read_archives(spark, path, strict=True)
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+#: A page's SHA-1 in base 32 is put together from eight numbers of 20 bits, each four letters of 5 bits.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_NIBBLE = "(instr('0123456789abcdef', substr(h, 5 * i + {}, 1)) - 1)"
+_NUMBER = " + ".join(f"{_NIBBLE.format(k + 1)} * {16 ** (4 - k)}" for k in range(5))
+_BASE32 = f"list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda b: substr('{_LETTERS}', CAST((({_NUMBER}) >> b) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '')"
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+d AS (SELECT page_id, t, top, sha1(t) AS h FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM d
+"""

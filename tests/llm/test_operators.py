@@ -145,6 +145,57 @@ def test_salvage():
     assert warc.salvage(packed[0] + packed[1][:-9]).gaps[0][:2] == (len(packed[0]), len(packed[0]) + len(packed[1]) - 9)
 
 
+def plain_archives(rows):
+    top = {}
+    for page_id, _, text in rows:
+        if page_id is not None:
+            top[text or ""] = max(top.get(text or "", page_id), page_id)
+    out = []
+    for page_id, _, text in rows:
+        raw = (text or "").encode()
+        last = top.get(text or "")
+        again = last is not None and page_id != last
+        out.append((page_id, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", last if again else None))
+    return sorted(out, key=repr)
+
+
+def test_archives_against_plain_version(spark, monkeypatch):
+    """Also with null and clashing columns, repeated rows, ties, a payload that fills no archive by itself, and small archives."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    noise = random.Random(3)
+    rows += [(10**6 + i, None, None) for i in range(50)] + [(2 * 10**6 + i, f"u {i}", "") for i in range(3)] + [rows[0], rows[1], (7 * 10**6, "x\r\ny", "é" * 9), (None, None, "no id")]
+    rows.append((8 * 10**6, "long", "".join(chr(noise.randrange(0x20, 0x3000)) for _ in range(7 << 20))))  # a member of more than 16 MiB
+    df = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], "page_id long, url string, html string, sha int, last int, payload int").repartition(5)
+    want = plain_archives(rows)
+    assert sorted((tuple(g) for g in warc.archived_pages(df).collect()), key=repr) == want
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "MAPPED_BYTES", 1 << 14)
+    assert sorted((tuple(g) for g in warc.archived_pages(df).collect()), key=repr) == want
+    assert warc.archived_pages(df.limit(0)).count() == 0
+
+
+def test_damaged_archives(spark, tmp_path):
+    """Damage costs the records that it touches, each stretch is logged, and a strict reader, which the query is, fails."""
+    rows = [(i, f"http://h/{i}", invented(random.Random(i), 40)) for i in range(60)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+    (file,) = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    raw = bytearray(file.read_bytes())
+    intact = warc.read_archives(spark, f"{tmp_path}/w").orderBy("start").collect()
+    starts, ids = [r.start for r in intact], [r.page_id for r in intact]
+    assert sorted(ids) == list(range(60))
+    for k in (5, 6, 30):
+        raw[starts[k] + 40] ^= 0xFF
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part-0").write_bytes(raw[: starts[59] + 20])
+    got = warc.read_archives(spark, f"{tmp_path}/d").orderBy("start").collect()
+    whole = {i: t for i, _, t in rows}
+    assert {g.page_id for g in got if g.kind == "record"} == {r for n, r in enumerate(ids) if n not in (5, 6, 30, 59)}
+    assert all(g.payload.decode() == whole[g.page_id] for g in got if g.kind == "record")
+    assert [(g.start, g.end) for g in got if g.kind == "gap"] == [(starts[5], starts[7]), (starts[30], starts[31]), (starts[59], starts[59] + 20)]
+    with pytest.raises(Exception, match="Damaged"):
+        warc.read_archives(spark, f"{tmp_path}/d", strict=True).count()
+
+
 # -- repeated strings
 
 
