@@ -1,9 +1,9 @@
 """Benchmark passages in a corpus by a positional inverted index, in DataFrame operations only.
 
-The index holds postings (term, text, position, nearby words) of the terms that are probed. Each test window is probed by its
-rarest term, by its count in the corpus; the posting's position less the term's offset is where the window would start, and
-the lists of the window's other terms, adjusted by their offsets, are intersected there, which the posting's nearby words give
-without another shuffle. Test terms are taken in blocks, so that what is broadcast stays below a fixed number of terms.
+The index is a stored table of postings (document, position, term) of all corpus tokens that are test terms; others can stand in no
+match. Each test window is probed by its rarest term, by its count in the index: a posting's position less the term's offset is where
+the window would start. These lists are then intersected with the second rarest term's, adjusted by its offset, and what is left with
+those of the window's other terms, all of which must stand there.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from .common import written
 
 WINDOW = 10
-#: Distinct probes that are broadcast at once; each holds at most WINDOW words.
-BLOCK_PROBES = 100_000
+#: Bytes of terms or probes up to which they are broadcast; more are joined by shuffling.
+BROADCAST_BYTES = 16 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -34,73 +34,99 @@ def test_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return runs.groupBy("window").agg(F.collect_set("item_id").alias("items"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often each of the terms stands in docs."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return tokens.join(F.broadcast(terms), "term").groupBy("term").count()
+def _side(df: DataFrame, each: Column) -> DataFrame:
+    """df to be broadcast, if its rows take at most BROADCAST_BYTES by the size of each."""
+    size = df.agg(F.coalesce(F.sum(each + 32), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def postings(docs: DataFrame, probes: DataFrame, reach: int) -> DataFrame:
-    """The index's postings of probed terms, each with the probe's columns, the position (from 0) and the words from reach before to reach after."""
-    w = docs.withColumn("w", words(F.col("text"))).drop("text")
-    tokens = w.select("*", F.posexplode("w").alias("pos", "term"))
-    found = tokens.join(F.broadcast(probes), "term")
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    return found.withColumn("first", first).withColumn("near", F.slice("w", F.col("first") + 1, F.col("pos") - F.col("first") + reach + 1)).drop("w")
+def stored_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored postings (doc_id, text_hash, pos, id) of terms (term, id) in docs (doc_id, text_hash, text); pos counts all words from 0."""
+    tokens = docs.select("doc_id", "text_hash", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    of = terms.select(F.col("term").alias("t"), "id")
+    return written(tokens.join(_side(of, F.octet_length("t")), F.col("term") == F.col("t")).select("doc_id", "text_hash", "pos", "id"), "postings")
 
 
-def _probes(docs: DataFrame, windows: DataFrame) -> list[DataFrame]:
-    """(term, probes) tables: each window under its rarest term, in blocks of at most BLOCK_PROBES windows."""
-    terms = windows.select(F.explode("window").alias("term")).distinct()
-    n = windows.count()
-    blocks = max(1, -(-n // BLOCK_PROBES))
-    out = []
-    for i in range(blocks):
-        own = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i) if blocks > 1 else windows
-        own_terms = own.select(F.explode("window").alias("term")).distinct() if blocks > 1 else terms
-        counts = term_counts(docs, own_terms)
-        by_term = own.select("window", "items", F.posexplode("window").alias("offset", "term")).join(counts, "term")
-        # A term that the corpus lacks has no count, and its windows can't occur: they need all their terms counted.
-        best = by_term.groupBy("window").agg(F.count("*").alias("found"), F.min(F.struct("count", "offset", "term")).alias("rarest"), F.first("items").alias("items")).where(F.col("found") == F.size("window"))
-        out.append(written(best.groupBy("rarest.term").agg(F.collect_list(F.struct(F.col("rarest.offset").alias("offset"), "window", "items")).alias("probes")), "probes"))
-    return out
+def _windows_by_rarity(index: DataFrame, windows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(win, items, length, at): windows that can occur, at: (count, offset, id) of their terms, the rarest first."""
+    counts = index.groupBy("id").agg(F.count("*").alias("count"))
+    of = windows.select("win", "items", F.size("window").alias("length"), F.posexplode("window").alias("offset", "term"))
+    known = of.join(terms, "term").join(counts, "id")
+    best = known.groupBy("win", "length").agg(F.sort_array(F.collect_list(F.struct("count", "offset", "id"))).alias("at"), F.first("items").alias("items"))
+    return written(best.where(F.size("at") == F.col("length")), "windows")
+
+
+def _numbered(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Test windows (win, window, items) and their terms (term, id); numbers are hashes, of terms too, so that no task numbers them all."""
+    windows = test_windows(items, size).withColumn("win", F.xxhash64("window", F.size("window")))
+    windows = written(windows, "test_windows")
+    terms = windows.select(F.explode("window").alias("term")).distinct().withColumn("id", F.xxhash64("term"))
+    return windows, written(terms, "terms")
+
+
+def _same_place(start: Column, offset: Column) -> Column:
+    """Whether a posting (q_...) is of the candidate's document and at start + offset."""
+    return F.col("doc_id").eqNullSafe(F.col("q_doc")) & (F.col("text_hash") == F.col("q_hash")) & (start + offset == F.col("q_pos"))
+
+
+def _candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, win, length, at) where a window's rarest term stands."""
+    probes = windows.select("win", "length", "at", F.col("at")[0]["id"].alias("probe"), F.col("at")[0]["offset"].alias("offset"))
+    found = index.join(_side(probes, F.size("at") * 24), F.col("id") == F.col("probe"))
+    return found.select("doc_id", "text_hash", (F.col("pos") - F.col("offset")).alias("start"), "win", "length", "at").where("start >= 0")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Exact matches of test windows: doc_id, text_hash, start (word, from 0), length, items. Rows of docs that agree in doc_id and text are one."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    parts = []
-    for probes in _probes(docs, test_windows(items, size)):
-        p = postings(keyed, probes, size - 1)
-        hits = F.filter(
-            F.transform("probes", lambda x: F.struct((F.col("pos") - x["offset"]).alias("start"), x["window"].alias("window"), x["items"].alias("items"))),
-            lambda x: (x["start"] >= 0) & (F.slice("near", F.greatest(x["start"] - F.col("first") + 1, F.lit(1)), F.size(x["window"])) == x["window"]),
-        )
-        parts.append(p.select("doc_id", "text_hash", F.explode(hits).alias("h")).select("doc_id", "text_hash", F.col("h.start").alias("start"), F.size("h.window").alias("length"), F.col("h.items").alias("items")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    windows, terms = _numbered(items, size)
+    index = stored_index(keyed, terms)
+    ranked = _windows_by_rarity(index, windows, terms)
+    found = _candidates(index, ranked)
+    postings = index.select(F.col("doc_id").alias("q_doc"), F.col("text_hash").alias("q_hash"), F.col("pos").alias("q_pos"), F.col("id").alias("q_id"))
+    # The second rarest terms' lists are short too.
+    second = ranked.where("length > 1").select(F.col("at")[1]["id"].alias("s")).distinct()
+    seconds = postings.join(_side(second, F.lit(8)), F.col("q_id") == F.col("s"), "left_semi")
+    two = F.col("at")[1]
+    longer = found.where("length > 1").join(seconds, _same_place(F.col("start"), two["offset"]) & (F.col("q_id") == two["id"]), "left_semi")
+    # Repeated rows of docs have repeated postings.
+    longer = longer.select("doc_id", "text_hash", "start", "win").distinct()
+    longer = written(longer.join(_side(ranked.select(F.col("win").alias("w"), "length", "at"), F.size("at") * 24), F.col("win") == F.col("w")).drop("w"), "candidates")
+    # The other terms must all have a posting at their places; each place is asked for once.
+    asked = longer.where("length > 2").select("doc_id", "text_hash", "start", "win", F.explode(F.slice("at", 3, size)).alias("x")).select("doc_id", "text_hash", (F.col("start") + F.col("x.offset")).alias("place"), F.col("x.id").alias("term_id"), "start", "win")
+    there = asked.join(postings, _same_place(F.col("place"), F.lit(0)) & (F.col("q_id") == F.col("term_id")), "left_semi")
+    agreed = there.groupBy("doc_id", "text_hash", "start", "win").agg(F.count("*").alias("rest"))
+    whole = agreed.join(_side(ranked.where("length > 2").select(F.col("win").alias("w"), "length", "items"), F.lit(64)), (F.col("win") == F.col("w")) & (F.col("rest") == F.col("length") - 2))
+    short = found.where("length = 1").unionAll(longer.where("length = 2")).select("doc_id", "text_hash", "start", "win")
+    short = short.join(ranked.select(F.col("win").alias("w"), "length", "items"), F.col("win") == F.col("w"))
+    columns = ["doc_id", "text_hash", "start", "length", "items"]
+    return whole.select(*columns).unionAll(short.select(*columns))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 5, size: int = WINDOW) -> DataFrame:
     """Windows whose words all stand within slop words more than the window's length of an occurrence of its rarest term: doc_id, text_hash, pos, window, items."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    parts = []
-    for probes in _probes(docs, test_windows(items, size)):
-        p = postings(keyed, probes, size + slop - 1).select("doc_id", "text_hash", "pos", "near", F.explode("probes").alias("x"))
-        parts.append(p.where(F.size(F.array_except("x.window", "near")) == 0).select("doc_id", "text_hash", "pos", F.col("x.window").alias("window"), F.col("x.items").alias("items")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    windows, terms = _numbered(items, size)
+    index = stored_index(keyed, terms)
+    ranked = _windows_by_rarity(index, windows, terms)
+    reach = size + slop - 1
+    found = index.join(ranked.select("win", "at", F.col("at")[0]["id"].alias("probe")), F.col("id") == F.col("probe")).select("doc_id", "text_hash", "pos", "win", F.array_distinct("at.id").alias("ids"))
+    # Postings within reach are in the stretch of the occurrence or in one next to it.
+    stretch = F.floor(F.col("pos") / (reach + 1))
+    asked = found.select("doc_id", "text_hash", "pos", "win", F.size("ids").alias("n"), F.explode("ids").alias("term_id"), stretch.alias("own"))
+    asked = asked.withColumn("part", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    postings = index.select(F.col("doc_id").alias("q_doc"), F.col("text_hash").alias("q_hash"), F.col("pos").alias("q_pos"), F.col("id").alias("q_id"), stretch.alias("q_part"))
+    near = F.col("doc_id").eqNullSafe(F.col("q_doc")) & (F.col("text_hash") == F.col("q_hash")) & (F.col("term_id") == F.col("q_id")) & (F.col("part") == F.col("q_part")) & (F.abs(F.col("pos") - F.col("q_pos")) <= reach)
+    held = asked.join(postings, near, "left_semi").groupBy("doc_id", "text_hash", "pos", "win", "n").agg(F.count_distinct("term_id").alias("found")).where("found = n")
+    return held.join(windows, "win").select("doc_id", "text_hash", "pos", "window", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Each row's doc_id, n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    Null and empty texts have no words; a null doc_id is kept; rows that agree in doc_id and text get the same result, each its
-    own row; without items nothing is hit; other columns are left out. Items with a null item_id mark words but aren't counted.
+    Null and empty texts have no words, and an empty table gives an empty one; long texts are searched whole; a null doc_id is kept; rows
+    that agree in doc_id and text get the same result, each its own row; windows that several items share (ties) count for each; without
+    items nothing is hit; other columns are left out and may have any name. Items with a null item_id mark words but aren't counted.
     """
     found = phrase_matches(docs.select("doc_id", "text"), items.select("item_id", "text"), size)
     spans = found.groupBy("doc_id", "text_hash", "start").agg(F.max("length").alias("length"), F.flatten(F.collect_set("items")).alias("items"))
