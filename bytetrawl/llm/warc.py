@@ -33,7 +33,7 @@ _END = b"\r\n\r\n"
 _NEXT = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|WARC/1\.[01]\r\n")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payload bytes in an archive, on average; a task goes on to its next archive then.
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 4 << 20
 #: Archives from this length on are read through a mapped copy on the task's own disk, and not as a value.
 MAPPED_BYTES = 1 << 30
 
@@ -242,11 +242,12 @@ class Damaged(ValueError):
     """An archive with bytes that are no whole records."""
 
 
-def read_archives(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, strict: bool = False, payloads: bool = True) -> DataFrame:
     """Records and gaps of archives: path, start, end (gaps only), kind (record or gap), type, page_id, url, payload, payload_bytes, payload_digest, refers_to, reason.
 
     Damaged records are left out, and each stretch of such bytes is a gap; strict: the first gap is an error instead, as a result without
-    its records wouldn't be whole. A task reads an archive from start to end, as a record's start is known only from the one before it.
+    its records wouldn't be whole. payloads: without them, payload is null. A task reads an archive from start to end, as a record's start is
+    known only from the one before it.
     """
     prepare(spark)
     found = spark.read.format("binaryFile").load(path)
@@ -267,7 +268,7 @@ def read_archives(spark: SparkSession, path: str, strict: bool = False) -> DataF
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                with contextlib.nullcontext(bytes(content)) if content is not None else _mapped(name) as data:
+                with contextlib.nullcontext(content) if content is not None else _mapped(name) as data:
                     rows: list[tuple] = []
                     size = 0
                     for x in salvaged(data):
@@ -281,8 +282,8 @@ def read_archives(spark: SparkSession, path: str, strict: bool = False) -> DataF
                         kind = head.get("warc-type")
                         own = number(head.get("x-payload-length")) if kind == "revisit" else len(payload)
                         sha = head.get("warc-payload-digest", "")[5:] if kind == "revisit" else digest(payload)
-                        rows.append((name, x.start, None, "record", kind, number(head.get("x-page-id")), head.get("warc-target-uri"), payload, own, sha, number(head.get("x-refers-to-page-id")), None))
-                        size += len(payload)
+                        rows.append((name, x.start, None, "record", kind, number(head.get("x-page-id")), head.get("warc-target-uri"), payload if payloads else None, own, sha, number(head.get("x-refers-to-page-id")), None))
+                        size += len(payload) if payloads else 0
                         if len(rows) >= 500 or size > 16 << 20:
                             yield table(rows)
                             rows, size = [], 0
@@ -301,7 +302,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
-    got = read_archives(spark, path, strict=True)
+    got = read_archives(spark, path, strict=True, payloads=False)
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
