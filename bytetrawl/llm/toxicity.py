@@ -4,7 +4,12 @@ The kernel of two words sums, over their common subsequences of three characters
 subsequences span in either word; spans are at most SPAN, and the kernel is normalised. Inserted or gapped characters so lower
 a match without ending it. Landmark words span the Nyström space in which the machine is fitted. As the fitted function is a
 sum of kernels with landmarks, it equals one weight for each subsequence, by which words are scored without their kernels.
-Runs of spaced single letters are joined to words first. A text's score is a calibrated function of its highest word margins.
+Runs of spaced single letters are joined to words first; words of one or two letters have no subsequence and say nothing.
+
+The machine is trained on labelled texts, as bags of words: a text's margin is its highest word margin. In each round a toxic text is a
+row by its word of the highest margin, and a clean text by its words of the highest margins and a random one, each text with the same
+weight, until these words settle. The first round's margins come from a machine over words by how many toxic and clean texts hold them.
+A text's score is a calibrated function of its highest word margins.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ SAMPLE_ROWS = 1500
 LANDMARKS = 160
 #: Texts of one class from this similarity on, in percent, are copies that count as one text.
 COPIES = 80
+#: Rounds in which texts choose their words anew, and words by which a clean text is a row.
+ROUNDS, CLEAN_WORDS = 5, 2
+#: Words of either kind from which the first machine is fitted at most, and those of which variants with inserted letters are made.
+FIRST_CLEAN, FIRST_TOXIC, VARIED = 6000, 1500, 400
 #: A toxic word's share of the toxic texts is at least so many times its share of the clean ones.
 RATIO = 20
 
@@ -203,13 +212,13 @@ def fit_words(counts: pd.DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndar
         return weights, bias
     for _ in range(2):
         clean = np.array([i for i, w in enumerate(words) if not toxic(by[w])], dtype=int)
-        bad = rng.permutation(clean)[:6000] if len(clean) else clean
-        good = good[np.argsort(-np.array([by[words[i]][0] for i in good]), kind="stable")][:1500]
+        bad = rng.permutation(clean)[:FIRST_CLEAN] if len(clean) else clean
+        good = good[np.argsort(-np.array([by[words[i]][0] for i in good]), kind="stable")][:FIRST_TOXIC]
         marks = [words[i] for i in [*good[: LANDMARKS // 2], *bad[: LANDMARKS // 2]]]
         values, vectors = np.linalg.eigh(kernel(marks, marks))
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        spread = [_with_insertion(words[i], rng) for i in good[:400] for _ in range(2)]
+        spread = [_with_insertion(words[i], rng) for i in good[:VARIED] for _ in range(2)]
         x = kernel([*(words[i] for i in good), *spread, *(words[i] for i in bad)], marks) @ root
         n_good = len(good) + len(spread)
         y = np.r_[np.ones(n_good), -np.ones(len(bad))]
@@ -225,6 +234,68 @@ def fit_words(counts: pd.DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndar
     return weights, bias
 
 
+def pieces(text: str) -> list[str]:
+    """The distinct pieces of words of a text that can be scored, in order."""
+    return sorted({p for u in units(text) for p in folded(u) if len(p) > 2})
+
+
+def fit_texts(bags: list[list[str]], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """The weight of each subsequence and the bias, from texts as bags of pieces, and their labels (1: toxic)."""
+    y = np.asarray(y)
+    n_toxic, n_clean = int((y == 1).sum()), int((y == 0).sum())
+    words = sorted(set().union(*bags)) if bags else []
+    place = {w: i for i, w in enumerate(words)}
+    flat = np.array([place[w] for bag in bags for w in bag], dtype=np.int64)
+    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    held = np.stack([np.bincount(flat[y[owner] == v], minlength=len(words)) for v in (1, 0)], axis=1) if len(flat) else np.zeros((0, 2), dtype=int)
+    weights, bias = fit_words(pd.DataFrame({"word": words, "n_toxic": held[:, 0], "n_clean": held[:, 1]}), n_toxic, n_clean)
+    if not weights.any() or not n_clean:
+        return weights, bias
+    likely = held[:, 0] * n_clean >= RATIO * held[:, 1] * n_toxic
+    rng = np.random.default_rng(6)
+    before: np.ndarray | None = None
+    for _ in range(ROUNDS):
+        margin = Scorer(weights, bias, np.zeros(3)).margins(words)
+        # Of each text its words from the highest margin on; ties by the word.
+        order = np.lexsort((flat, -margin[flat], owner))
+        first = np.searchsorted(owner[order], np.arange(len(bags)))
+        full = np.array([len(b) for b in bags])
+        best = flat[order[np.minimum(first, len(order) - 1)]]
+        # A word that clean texts hold about as often doesn't make its text toxic.
+        toxic = np.flatnonzero((y == 1) & (full > 0) & likely[best] & (margin[best] > bias))
+        witness = best[toxic]
+        if not len(witness) or before is not None and np.array_equal(before, witness):
+            break
+        before = witness
+        rows, cost = [words[i] for i in witness], [1.0] * len(witness)
+        for i in witness:
+            rows += [_with_insertion(words[i], rng), _with_insertion(words[i], rng)]
+            cost += [0.5, 0.5]
+        n_good = len(rows)
+        for k in np.flatnonzero((y == 0) & (full > 0)):
+            own = [*flat[order[first[k] : first[k] + min(CLEAN_WORDS, full[k])]], flat[order[first[k] + rng.integers(full[k])]]]
+            rows += [words[i] for i in own]
+            cost += [1 / len(own)] * len(own)
+        if len(rows) == n_good:
+            break
+        cost = np.array(cost)
+        cost[:n_good] *= 2000 / cost[:n_good].sum()
+        cost[n_good:] *= 6000 / cost[n_good:].sum()
+        chosen, often = np.unique(witness, return_counts=True)
+        marks = [words[i] for i in chosen[np.argsort(-often, kind="stable")][: LANDMARKS // 2]]
+        clean = sorted(set(rows[n_good:]).difference(marks))
+        marks += [clean[i] for i in rng.permutation(len(clean))[: LANDMARKS - len(marks)]]
+        values, vectors = np.linalg.eigh(kernel(marks, marks))
+        keep = values > 1e-6
+        root = vectors[:, keep] / np.sqrt(values[keep])
+        x = kernel(rows, marks) @ root
+        fit = squared_hinge(np.hstack([x, np.ones((len(x), 1))]), np.r_[np.ones(n_good), -np.ones(len(rows) - n_good)], cost)
+        alpha, bias = root @ fit[:-1], float(fit[-1])
+        r, f, w = subsequences(marks)
+        weights = np.bincount(f, alpha[r] * w, minlength=SYMBOLS**3)
+    return weights, bias
+
+
 def without_copies(texts: DataFrame) -> DataFrame:
     """text and toxic of one row of each group of copies and near copies in a class; copies would pass for evidence from many texts."""
     rows = written(texts.select(F.xxhash64("doc_id", "text").alias("row"), "text", "toxic"), "sample")
@@ -242,15 +313,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         return Scorer(np.zeros(SYMBOLS**3), -1.0, np.array([0.0, 0.0, -3.0]))
     sample = spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
     texts = without_copies(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null"))
-    left = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
-            rows = [(w, int(y), 1 - int(y)) for t, y in zip(pdf["text"], pdf["toxic"], strict=True) for w in units(t)]
-            yield pd.DataFrame(rows, columns=["word", "t", "c"]).groupby("word", as_index=False).sum() if rows else pd.DataFrame(rows, columns=["word", "t", "c"])
+            yield pd.DataFrame({"toxic": pdf["toxic"], "text": [" ".join(pieces(t)) for t in pdf["text"]]})
 
-    counts = texts.mapInPandas(words, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("n_toxic"), F.sum("c").alias("n_clean")).toPandas()
-    weights, bias = fit_words(counts, left.get(1, 0), left.get(0, 0))
+    bags = texts.mapInPandas(words, "toxic int, text string").orderBy("toxic", "text").toPandas()  # at most twice SAMPLE_ROWS rows
+    weights, bias = fit_texts([t.split(" ") if t else [] for t in bags["text"]], bags["toxic"].to_numpy())
     scorer = Scorer(weights, bias, np.zeros(3))
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
