@@ -1,28 +1,28 @@
 """Quality by co-training: a classifier over a text's content and one over its page's metadata teach each other.
 
-Both views are logistic functions. In each round either view marks the unlabelled rows that it is surest of, and these join the
-other view's training rows. The calibrated views are then combined by a logistic function of their two log odds, fitted on
-labelled rows that neither view has learnt from.
+Both views are logistic functions. In each round either view scores every unlabelled row of the table; of those that it is sure of, a
+bounded sample by a hash, of each class, joins the other view's training rows. Each view is then calibrated by a logistic function of its
+log odds, and the calibrated views are combined by another, fitted on labelled rows that neither view has learnt from.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, prepare
+from .common import filled, prepare, written
 from .toxicity import logistic
 
-#: At most so many labelled rows, and so many unlabelled ones, are learnt from; chosen by a hash of doc_id.
-LABELLED_ROWS, UNLABELLED_ROWS = 6000, 3000
-ROUNDS, SURE_ROWS, SURE = 4, 150, 0.95
+#: At most so many labelled rows are learnt from, chosen by a hash of doc_id; and in each round so many rows that the other view is sure of.
+LABELLED_ROWS, SURE_ROWS = 6000, 150
+ROUNDS, SURE = 4, 0.95
 #: Rows below this score are rejected.
 THRESHOLD = 0.5
 META = 40
@@ -80,74 +80,100 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Two views and how they are combined."""
+    """Two views, how each is calibrated, and how they are combined."""
 
-    def __init__(self, views: list[np.ndarray], scale: list[tuple[np.ndarray, np.ndarray]], mix: np.ndarray) -> None:
-        self.views, self.scale, self.mix = views, scale, mix
+    def __init__(self, views: list[np.ndarray], scale: list[tuple[np.ndarray, np.ndarray]], calibration: list[np.ndarray], mix: np.ndarray) -> None:
+        self.views, self.scale, self.calibration, self.mix = views, scale, calibration, mix
 
     def score(self, parts: list[np.ndarray]) -> np.ndarray:
-        z = np.stack([odds((x - m) / s, w) for x, w, (m, s) in zip(parts, self.views, self.scale, strict=True)], axis=1)
-        return 1 / (1 + np.exp(-odds(z, self.mix)))
+        z = [odds((x - m) / s, w) for x, w, (m, s) in zip(parts, self.views, self.scale, strict=True)]
+        return 1 / (1 + np.exp(-odds(np.stack([odds(x[:, None], w) for x, w in zip(z, self.calibration, strict=True)], axis=1), self.mix)))
+
+
+def _views(pdf: pd.DataFrame) -> list[np.ndarray]:
+    """Both views of rows whose contents are known."""
+    return [np.array(pdf["a"].tolist(), dtype=float).reshape(len(pdf), len(content(""))), np.array([metadata(a, b, c) for a, b, c in zip(pdf["lang"], pdf["source"], pdf["n_chars"], strict=True)]).reshape(len(pdf), META + 3)]
 
 
 def _parts(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [np.array([content(t or "") for t in pdf["text"]]).reshape(len(pdf), -1), np.array([metadata(a, b, c) for a, b, c in zip(pdf["lang"], pdf["source"], pdf["n_chars"], strict=True)]).reshape(len(pdf), -1)]
 
 
-def cotrain(known: list[np.ndarray], y: np.ndarray, unknown: list[np.ndarray]) -> Model | None:
-    """A model from rows with labels and rows without, or None where the labels are all alike."""
+#: Takes the views, their scales and the round; gives each view's pupil rows (features, label).
+Picker = Callable[[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]], int], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def cotrain(known: list[np.ndarray], y: np.ndarray, pick: Picker) -> Model | None:
+    """A model from rows with labels and a way to pick rows that a view is sure of, or None where the labels are all alike."""
     if len(y) < 4 or not 0 < y.sum() < len(y):
         return None
     scale = [(x.mean(axis=0), x.std(axis=0) + 1e-3) for x in known]
     known = [(x - m) / s for x, (m, s) in zip(known, scale, strict=True)]
-    unknown = [(x - m) / s for x, (m, s) in zip(unknown, scale, strict=True)]
     held = np.arange(len(y)) % 4 == 3
     if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
         held = np.zeros(len(y), dtype=bool)
     xs = [x[~held] for x in known]
     ys = [y[~held].astype(float)] * 2
-    free = np.ones((2, len(unknown[0])), dtype=bool)  # rows that the view hasn't been taught yet
     views = [logistic(x, t, 1.0) for x, t in zip(xs, ys, strict=True)]
-    share = y[~held].mean()
-    for _ in range(ROUNDS if len(unknown[0]) else 0):
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-odds(unknown[teacher], views[teacher])))
-            good = np.flatnonzero(free[pupil] & (p >= SURE))
-            bad = np.flatnonzero(free[pupil] & (p <= 1 - SURE))
-            good = good[np.argsort(-p[good], kind="stable")][: max(1, int(SURE_ROWS * share))]
-            bad = bad[np.argsort(p[bad], kind="stable")][: max(1, int(SURE_ROWS * (1 - share)))]
-            new = np.r_[good, bad]
-            free[pupil, new] = False
-            xs[pupil] = np.vstack([xs[pupil], unknown[pupil][new]])
-            ys[pupil] = np.r_[ys[pupil], np.ones(len(good)), np.zeros(len(bad))]
+    for turn in range(ROUNDS):
+        for pupil, (x, t) in enumerate(pick(views, scale, turn)):
+            if len(t):
+                m, s = scale[pupil]
+                xs[pupil], ys[pupil] = np.vstack([xs[pupil], (x - m) / s]), np.r_[ys[pupil], t]
         views = [logistic(x, t, 1.0) for x, t in zip(xs, ys, strict=True)]
     rest = held if held.any() else ~held
-    z = np.stack([odds(x[rest], w) for x, w in zip(known, views, strict=True)], axis=1)
-    return Model(views, scale, logistic(z, y[rest].astype(float), 0.5))
+    truth = y[rest].astype(float)
+    z = [odds(x[rest], w) for x, w in zip(known, views, strict=True)]
+    calibration = [logistic(x[:, None], truth, 0.5) for x in z]
+    return Model(views, scale, calibration, logistic(np.stack([odds(x[:, None], w) for x, w in zip(z, calibration, strict=True)], axis=1), truth, 0.5))
+
+
+_COLUMNS = ["doc_id", "lang", "source", "n_chars"]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model from bounded samples of labelled and unlabelled rows of docs."""
+    """A model from a bounded sample of labelled rows, and all unlabelled rows of docs."""
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS).collect()
     if not rows:
         return None
     sample = docs.sparkSession.createDataFrame([(int(r.doc_id), int(r.quality)) for r in rows], "d long, quality int")
-    cols = ["doc_id", "text", "lang", "source", "n_chars"]
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
-            a, b = _parts(pdf)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "a": list(a), "b": list(b)})
-
-    schema = "doc_id long, quality int, a array<double>, b array<double>"
-    known = docs.select(*cols).join(F.broadcast(sample), F.col("doc_id") == F.col("d")).drop("d").mapInPandas(parts, schema).toPandas().sort_values("doc_id")
-    ids = docs.select("doc_id").join(lab.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"), "left_anti").where("doc_id is not null")
-    free = [(r.doc_id, -1) for r in ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED_ROWS).collect()]
-    unknown = docs.select(*cols).join(F.broadcast(docs.sparkSession.createDataFrame(free, "d long, quality int")), F.col("doc_id") == F.col("d")).drop("d").mapInPandas(parts, schema).toPandas().sort_values("doc_id")
-    stack = lambda s, n: np.array(s.tolist(), dtype=float).reshape(-1, n)
-    na, nb = len(content("")), META + 3
-    return cotrain([stack(known["a"], na), stack(known["b"], nb)], known["quality"].to_numpy(), [stack(unknown["a"], na), stack(unknown["b"], nb)])
+            yield pdf[_COLUMNS].assign(a=[content(t or "") for t in pdf["text"]])
+
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(f"{c} {kind[c]}" for c in _COLUMNS) + ", a array<double>"
+    every = written(docs.select(*_COLUMNS, "text").mapInPandas(contents, schema), "contents")
+    # Repeated rows of a labelled document are one row, so that the sample stays bounded.
+    labelled = every.join(F.broadcast(sample), F.col("doc_id") == F.col("d")).drop("d").dropDuplicates(["doc_id", "a", "lang", "source", "n_chars"])
+    known = labelled.orderBy("doc_id", "a").limit(2 * LABELLED_ROWS).toPandas()
+    free = written(every.join(lab.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"), "left_anti"), "unlabelled")
+
+    def pick(views: list[np.ndarray], scale: list[tuple[np.ndarray, np.ndarray]], turn: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in filled(batches):
+                parts = _views(pdf)
+                out = []
+                for teacher in (0, 1):
+                    m, s = scale[teacher]
+                    p = 1 / (1 + np.exp(-odds((parts[teacher] - m) / s, views[teacher])))
+                    for label, found in ((1, p >= SURE), (0, p <= 1 - SURE)):
+                        own = pdf[found].nsmallest(SURE_ROWS, "turn")
+                        out.append(own.assign(pupil=1 - teacher, label=label))
+                yield pd.concat(out)[[*_COLUMNS, "a", "turn", "pupil", "label"]]
+
+        found = free.withColumn("turn", F.xxhash64("doc_id", "a", F.lit(turn))).mapInPandas(sure, f"{schema}, turn long, pupil int, label int")
+        best = Window.partitionBy("pupil", "label").orderBy("turn")
+        share = known["quality"].mean()
+        most = F.when(F.col("label") == 1, max(1, int(SURE_ROWS * share))).otherwise(max(1, int(SURE_ROWS * (1 - share))))
+        # Spark keeps the first rows of each group in every task before they are shuffled.
+        ranked = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SURE_ROWS)
+        rows = ranked.where(F.col("place") <= most).orderBy("pupil", "label", "place").toPandas()
+        return [(_views(own)[pupil], own["label"].to_numpy(dtype=float)) for pupil in (0, 1) for own in [rows[rows["pupil"] == pupil]]]
+
+    return cotrain(_views(known), known["quality"].to_numpy(), pick)
 
 
 def _scores(model: Model | None, pdf: pd.DataFrame) -> np.ndarray:
