@@ -82,7 +82,7 @@ def visits_needed(sample: np.ndarray, c: np.ndarray, k: int) -> int:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (float64 bytes) of vectors without nulls, infinities and NaNs that aren't zero, of the most common dimension."""
+    """vec_id, v (float64 bytes) and d (dimension) of vectors without nulls, infinities and NaNs that aren't zero."""
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
@@ -101,18 +101,22 @@ def _usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST) -> DataFrame:
     """The k nearest vectors of each row whose vec_id is divisible by every: query_id, rank, vec_id, score.
 
-    Null vec_ids take no part, nor do vectors of another dimension than the most common one. Repeated rows are one vector. Ties go
-    to the smaller vec_id. Other columns are left out; without usable vectors the result is empty.
+    Null vec_ids take no part. Vectors are compared with those of their own dimension only. Repeated rows are one vector. Ties go to the
+    smaller vec_id. Other columns are left out and may have any name; without usable vectors the result is empty.
     """
     spark = vectors.sparkSession
     prepare(spark)
     rows = _usable(vectors)
-    common = rows.groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], schema)
-    d = int(common.d)
-    rows = rows.where(F.col("d") == d).withColumn("key", F.md5("v"))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in rows.select("d").distinct().orderBy("d").collect():  # a table has one dimension, or a few
+        out = out.unionByName(_nearest_of(rows.where(F.col("d") == r.d), int(r.d), every, k))
+    return out
+
+
+def _nearest_of(rows: DataFrame, d: int, every: int, k: int) -> DataFrame:
+    """The same for vectors of one dimension."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("key", F.md5("v"))
     first = W.partitionBy("key").orderBy("vec_id")
     some = rows.select("key", "vec_id", "v").groupBy("key", "vec_id").agg(F.first("v").alias("v")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     distinct = written(some.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v")), "distinct")

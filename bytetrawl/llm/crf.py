@@ -91,15 +91,19 @@ _CLASS = re.compile(r"(A+)|(a+)|(0+)")
 _HEX = re.compile(r"[0-9a-f]{12,}\Z", re.I)
 
 
+_PAIRS = re.compile(r"(..)\1+")
+
+
 def shape(word: str) -> str:
-    """Letters as A or a, digits as 0, runs shortened to one, everything else as it is but non-ASCII letters as a."""
+    """Letters as A or a, digits as 0, runs shortened to one, everything else as it is but non-ASCII letters as a; in long shapes repeated pairs are shortened too."""
     out, last = [], ""
-    for c in word[:64]:
+    for c in word:
         c = "0" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c if c < "\x7f" else "_"
         if c != last:
             out.append(c)
             last = c
-    return "".join(out[:24])
+    whole = "".join(out)
+    return whole if len(whole) <= 24 else _PAIRS.sub(r"\1~", whole)
 
 
 def _bucket(n: int) -> str:
@@ -431,7 +435,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """Personal data of each row: doc_id, counts of the fixed patterns, base_sha256, spans, n_secret, n_added.
 
     A null text counts as empty and gives zero counts and an empty list; a null doc_id is kept; repeated rows give repeated
-    rows; other columns are left out; an empty table gives an empty table. Long texts are searched whole.
+    rows; where spans of two kinds start together (ties) they are listed in the order of KINDS; other columns are left out and may have any name; an
+    empty table gives an empty table. Long texts and words are searched whole.
     """
     prepare(docs.sparkSession)
     field = trained_field()

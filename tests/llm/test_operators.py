@@ -76,6 +76,28 @@ def test_pii(spark, docs):
     assert crf.redact(docs).columns == docs.columns and crf.redact(docs).count() == docs.count()
 
 
+def test_pii_against_plain_version(spark):
+    """Every column of the query but the field's own spans, on all documents and on odd ones."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6, None), (10**6 + 1, ""), (None, "a@b.c 1.2.3.4"), rows[0], (10**6 + 2, "x" * 300_000 + " 1.2.3.4 é@é a@b-c.de. 4111 1111-1111 1111 +49 (30) 123-4567 256.1.1.1 1.2.3.4.5 @a.b a@b"), (10**6 + 3, "0a" * 100_000)]
+    got = crf.pii_spans(spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, spans string")).collect()
+    want = []
+    for doc_id, text in rows:
+        base = plain_base(text or "")
+        said = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        want.append((doc_id, *(sum(k == kind for *_, k in base) for kind in crf.KINDS[:4]), hashlib.sha256(said.encode()).hexdigest(), {said for said in said.split(",") if said}))
+    assert sorted((repr((g.doc_id, g.n_email, g.n_ip, g.n_card, g.n_phone, g.base_sha256)) for g in got)) == sorted(repr(w[:-1]) for w in want)
+    by = {(w[0], w[5]): w[-1] for w in want}
+    for g in got:
+        all_spans = g.spans.split(",") if g.spans else []
+        kept = by[g.doc_id, g.base_sha256]
+        assert kept <= set(all_spans) and len(all_spans) - len(kept) == g.n_added
+        places = [(int(s.split(":")[1]), int(s.split(":")[2])) for s in all_spans]
+        assert places == sorted(places, key=lambda p: p[0]) or len(set(p[0] for p in places)) < len(places)
+    assert sum(w[1] + w[2] + w[3] + w[4] for w in want) > 10
+    assert crf.pii_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # -- packing
 
 
@@ -377,6 +399,19 @@ def test_neighbours(spark):
     assert list(got[got.query_id == 20].sort_values("rank").vec_id)[:5] == [40, 41, 42, 43, 44]
 
 
+def test_neighbours_of_several_dimensions(spark):
+    """Each dimension is searched by itself; clashing columns and an empty table are borne."""
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.standard_normal(3 if i % 4 else 5)], "x", 1) for i in range(200)] + [(200, [], "x", 1), (201, None, "x", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, d int")
+    got = {(g.query_id, g.rank): (g.vec_id, g.score) for g in ann.nearest(df).collect()}
+    for q, v, *_ in rows:
+        if q % 20 == 0 and v:
+            own = sorted(((-float((np.array(v) * np.array(w)).sum()), i) for i, w, *_ in rows if i != q and w and len(w) == len(v)))[:20]
+            assert [got[q, k + 1][0] for k in range(20)] == [i for _, i in own]
+    assert ann.nearest(df.limit(0)).count() == 0
+
+
 def test_error_bounds():
     r = np.random.default_rng(2)
     x, q, c = r.standard_normal((500, 64)), r.standard_normal((20, 64)), np.zeros(64)
