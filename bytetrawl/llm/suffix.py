@@ -241,17 +241,19 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"fp": fp.astype(np.uint64).view(np.int64), "h0": h["h0"], "h1": h["h1"], "u0": u0[own], "u1": u1[own], "first": (first - base).astype(np.int32), "strings": (last - first + 1).astype(np.int16), "anchor": (a - first).astype(np.int16)})
 
     blocks = written(rows.mapInPandas(find, "fp long, h0 long, h1 int, u0 long, u1 long, first int, strings short, anchor short"), "anchors")
-    # Copies are summed before they are shuffled, and joins by digests are such that Spark can split their large partitions.
-    kinds = blocks.groupBy("fp", "h0", "h1").agg(F.count("*").alias("c"))
-    sizes = kinds.groupBy(F.col("fp").alias("f")).agg(F.count("*").alias("d"), F.sum("c").alias("n")).where("n > 1").select("f", "d")
-    shared = kinds.join(sizes, F.col("fp") == F.col("f")).where("c > 1 or d > 1").select(F.col("fp").alias("f"), F.col("h0").alias("g0"), F.col("h1").alias("g1"), "c", "d")
-    same = (F.col("fp") == F.col("f")) & (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1"))
-    shared = written(blocks.join(shared, same).drop("f", "g0", "g1"), "shared")
+    # Most anchors stand alone. Counts and copies are summed before they are shuffled, and Spark can split the large partitions of the joins.
+    counted = blocks.groupBy(F.col("fp").alias("f")).agg(F.count("*").alias("n")).where("n > 1").select("f")
+    shared = written(blocks.join(counted, F.col("fp") == F.col("f"), "left_semi"), "shared")
     discard(blocks)
-    spans = shared.where("c > 1").select("u0", "u1", F.col("first").alias("s"), (F.col("first") + F.col("strings") - 1 + LENGTH).cast("int").alias("e"))
+    one = F.min(F.struct("u0", "u1", "first", "strings", "anchor")).alias("one")
+    kinds = written(shared.groupBy("fp", "h0", "h1").agg(F.count("*").alias("c"), one).select("fp", "h0", "h1", "c", "one.*"), "kinds")
+    copied = kinds.where("c > 1").select(F.col("fp").alias("f"), F.col("h0").alias("g0"), F.col("h1").alias("g1"))
+    same = (F.col("fp") == F.col("f")) & (F.col("h0") == F.col("g0")) & (F.col("h1") == F.col("g1"))
+    spans = shared.join(copied, same, "left_semi").select("u0", "u1", F.col("first").alias("s"), (F.col("first") + F.col("strings") - 1 + LENGTH).cast("int").alias("e"))
 
     # Of anchors with several kinds of blocks, one block of each kind is sorted.
-    wanted = shared.where("d > 1").groupBy("fp", "h0", "h1").agg(F.min(F.struct("u0", "u1", "first", "strings", "anchor")).alias("one")).select("fp", "h0", "h1", "one.*")
+    several = kinds.groupBy(F.col("fp").alias("f")).agg(F.count("*").alias("d")).where("d > 1").select("f")
+    wanted = kinds.join(several, F.col("fp") == F.col("f"), "left_semi")
     by_text = wanted.groupBy(F.col("u0").alias("w0"), F.col("u1").alias("w1")).agg(F.collect_list(F.struct("fp", "h0", "h1", "first", "strings", "anchor")).alias("cuts"))
     texts = rows.join(by_text, (F.col("u0") == F.col("w0")) & (F.col("u1") == F.col("w1"))).select("u0", "u1", "text", "cuts")
 

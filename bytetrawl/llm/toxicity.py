@@ -77,13 +77,18 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The normalised kernel of each word with each landmark."""
-    table = np.zeros((SYMBOLS**3, len(landmarks)), dtype=np.float32)
     r, f, w = subsequences(landmarks)
-    table[f, r] = w
+    held = np.unique(f)
+    place = np.full(SYMBOLS**3, len(held), dtype=np.int32)  # the last row of the table is of no landmark
+    place[held] = np.arange(len(held))
+    table = np.zeros((len(held) + 1, len(landmarks)), dtype=np.float32)
+    table[place[f], r] = w
     out = np.zeros((len(words), len(landmarks)))
-    for at in range(0, len(words), 1000):
-        r, f, w = subsequences(words[at : at + 1000])
-        np.add.at(out, at + r, table[f] * w[:, None])
+    for at in range(0, len(words), 250):
+        r, f, w = subsequences(words[at : at + 250])
+        if len(r):
+            begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            out[at + r[begin]] = np.add.reduceat(table[place[f]] * w.astype(np.float32)[:, None], begin, axis=0)
     return out
 
 
