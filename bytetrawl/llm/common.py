@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,27 +52,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/bytetrawl/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[tuple[SparkSession, str]]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows of df as a table in the shared folder: computed once, with short lineage, and safe against lost executors.
 
-    The job runs when this is called, while the plan that reads the table is still being made. The table stays, as a returned plan may read
-    it later; those that only intermediate steps read are given to discard().
+    The job runs when this is called, while the plan that reads the table is still being made. Within scratch() the table is deleted at the
+    end, unless it is to be kept for what comes after it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    scopes = _SCRATCH[:-1] if keep else _SCRATCH
+    if scopes:
+        scopes[-1].append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path  # type: ignore[attr-defined]
     return out
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written in here are gone afterwards, but for those that are kept."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that written() made and that no later step reads."""
     path = getattr(table, "_written_to", None)
     if path is not None:
-        spark = table.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(table.sparkSession, path)
 
 
 def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

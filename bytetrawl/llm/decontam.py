@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import scratch, written
 
 WINDOW = 10
 #: Bytes of terms or probes up to which they are broadcast; more are joined by shuffling.
@@ -78,6 +78,11 @@ def _candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Exact matches of test windows: doc_id, text_hash, start (word, from 0), length, items. Rows of docs that agree in doc_id and text are one."""
+    with scratch():
+        return written(_phrase_matches(docs, items, size), "matches", keep=True)
+
+
+def _phrase_matches(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     windows, terms = _numbered(items, size)
     index = stored_index(keyed, terms)
@@ -92,6 +97,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
     # Repeated rows of docs have repeated postings.
     longer = longer.select("doc_id", "text_hash", "start", "win").distinct()
     longer = written(longer.join(_side(ranked.select(F.col("win").alias("w"), "length", "at"), F.size("at") * 24), F.col("win") == F.col("w")).drop("w"), "candidates")
+    held = longer.select(F.col("doc_id").alias("h_doc"), F.col("text_hash").alias("h_hash")).distinct()
+    of_held = F.col("q_doc").eqNullSafe(F.col("h_doc")) & (F.col("q_hash") == F.col("h_hash"))
+    postings = postings.join(_side(held, F.lit(16)), of_held, "left_semi")
     # The other terms must all have a posting at their places; each place is asked for once.
     asked = longer.where("length > 2").select("doc_id", "text_hash", "start", "win", F.explode(F.slice("at", 3, size)).alias("x")).select("doc_id", "text_hash", (F.col("start") + F.col("x.offset")).alias("place"), F.col("x.id").alias("term_id"), "start", "win")
     there = asked.join(postings, _same_place(F.col("place"), F.lit(0)) & (F.col("q_id") == F.col("term_id")), "left_semi")

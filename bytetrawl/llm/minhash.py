@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, fresh, mix64, prepare, segment_hashes, written
+from .common import filled, fresh, mix64, prepare, scratch, segment_hashes, written
 from .graph import components
 
 SHINGLE, COORDINATES, MISSED = 5, 32, 1e-11
@@ -285,14 +285,15 @@ def _compared(pdf: pd.DataFrame, k: int, least: int) -> pd.DataFrame:
     return pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
-def set_links(sets: DataFrame, texts: DataFrame, least: int) -> DataFrame | None:
+def set_links(sets: DataFrame, docs: DataFrame, least: int) -> DataFrame | None:
     """Links (a, b) of the keys of sets whose graph has the components of all pairs that are similar enough; None if there are none.
 
-    texts: (key, text) of documents, one of each set at least; texts of other sets are left out.
+    docs: (doc_id, text), with a text of each set under its least_id; texts of other sets are left out.
     """
     k = matches(least)
     posts = written(_prefixes(sets, k), "prefixes")
     wanted = posts.select(F.col("key").alias("k")).distinct()
+    ids = sets.select("key", F.col("least_id").alias("id")).join(wanted, F.col("key") == F.col("k"), "left_semi")
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):
@@ -302,7 +303,8 @@ def set_links(sets: DataFrame, texts: DataFrame, least: int) -> DataFrame | None
             yield pd.DataFrame({"key": pdf["key"], "k0": halves[:, 0], "k1": halves[:, 1], "shingles": [s.view(np.int64) for s in sets]})[own]
 
     schema = "key binary, k0 long, k1 long, shingles array<long>"
-    full_sets = written(texts.join(wanted, F.col("key") == F.col("k"), "left_semi").mapInPandas(full, schema), "full")
+    texts = docs.join(ids, F.col("doc_id") == F.col("id")).select("key", "text")
+    full_sets = written(texts.mapInPandas(full, schema), "full")
     if full_sets.count() > wanted.count():  # repeated rows
         full_sets = written(full_sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("k0", "k1", "shingles")]), "full")
     signatures = sets.select(F.col("key").alias("s"), *_WORDS)
@@ -328,13 +330,16 @@ def set_links(sets: DataFrame, texts: DataFrame, least: int) -> DataFrame | None
 def grouped(docs: DataFrame, least: int) -> DataFrame:
     """Each row's doc_id, text_hash, n_shingles, key of its set, group (the key of its set's component) and component_id."""
     prepare(docs.sparkSession)
+    with scratch():
+        return written(_grouped(docs, least), "grouped", keep=True)
+
+
+def _grouped(docs: DataFrame, least: int) -> DataFrame:
     all_rows = written(sketches(docs), "sketches")
     some = all_rows.where("key is not null and doc_id is not null")
     first = [F.first(c).alias(c) for c in (*_WORDS, "tokens")]
     sets = written(some.groupBy("key").agg(F.min("doc_id").alias("least_id"), *first), "sets")
-    one_of = sets.select("key", F.col("least_id").alias("id"))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(one_of, F.col("doc_id") == F.col("id"))
-    links = set_links(sets, texts.select("key", "text"), least)
+    links = set_links(sets, docs.where("doc_id is not null and text is not null").select("doc_id", "text"), least)
     by_set = sets.select(F.col("key").alias("k"), F.col("least_id").alias("set_component"), F.col("key").alias("group"))
     if links is not None:
         found = written(components(links).join(by_set.drop("group"), F.col("node") == F.col("k")).select("k", "component", "set_component"), "components")
@@ -363,7 +368,7 @@ def one_of_each(docs: DataFrame, least: int) -> DataFrame:
     It is the one with the smallest doc_id; of rows with that doc_id, the one with the smallest hash of its text, and of rows that
     agree in both, the first by their other columns as JSON. Rows without a doc_id, a text or words stay, each of them.
     """
-    rows = written(grouped(docs, least).where("doc_id is not null and key is not null"), "grouped")
+    rows = grouped(docs, least).where("doc_id is not null and key is not null")
     chosen = rows.groupBy(F.col("group").alias("g")).agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     mark, ident, digest, at = fresh(docs, 4)
     judged = rows.join(chosen, F.col("group") == F.col("g")).withColumn("same", F.struct("doc_id", "text_hash") == F.col("one"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, prepare, written
+from .common import filled, prepare, scratch, written
 from .toxicity import logistic
 
 #: At most so many labelled rows are learnt from, chosen by a hash of doc_id; and in each round so many rows that the other view is sure of.
@@ -133,6 +133,11 @@ _COLUMNS = ["doc_id", "lang", "source", "n_chars"]
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from a bounded sample of labelled rows, and all unlabelled rows of docs."""
+    with scratch():
+        return _fit(docs, labels)
+
+
+def _fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS).collect()
     if not rows:

@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, discard, filled, mix64, powers, prepare, written
+from .common import _INVERSE, discard, filled, mix64, powers, prepare, scratch, written
 
 LENGTH, GRAM, COVER = 200, 64, 32
 #: Blocks that are sorted together, on average; buckets of more than MOST_BLOCKS kinds are divided first.
@@ -224,6 +224,11 @@ def _divided(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """u0, u1 and [s, e) byte spans that repeated strings cover in the texts of rows (u0, u1, text); spans can overlap."""
+    with scratch():
+        return written(_repeated_spans(rows), "spans", keep=True)
+
+
+def _repeated_spans(rows: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filled(batches):

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, prepare, written
+from .common import filled, prepare, scratch, written
 from .minhash import near_duplicates
 
 LAMBDA, SPAN, SYMBOLS, PIECE = 0.7, 6, 64, 24
@@ -316,6 +316,12 @@ def without_copies(texts: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """A scorer from labelled rows; what is written on the way is gone afterwards."""
+    with scratch():
+        return _fit(docs, labels)
+
+
+def _fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from labelled rows outside the held-out fold, at most SAMPLE_ROWS of each class, chosen by a hash of doc_id."""
     lab = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [lab.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for v in (0, 1)]
