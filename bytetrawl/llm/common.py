@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_FOLDER: list[str] = []
 
@@ -95,6 +96,16 @@ def discard(table: DataFrame) -> None:
         _delete(table.sparkSession, path)
 
 
+#: Bytes up to which a table that is joined to a larger one is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame, each: Column | int) -> DataFrame:
+    """df to be broadcast, if its rows take at most BROADCAST_BYTES, 32 bytes and each for a row; otherwise df, for a join by shuffling."""
+    size = df.agg(F.coalesce(F.sum((F.lit(each) if isinstance(each, int) else each) + 32), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The batches that have rows; lists without rows would make columns of a wrong type."""
     return (pdf for pdf in batches if len(pdf))

@@ -12,11 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, written
+from .common import scratch, small_side, written
 
 WINDOW = 10
-#: Bytes of terms or probes up to which they are broadcast; more are joined by shuffling.
-BROADCAST_BYTES = 16 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -34,17 +32,11 @@ def test_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return runs.groupBy("window").agg(F.collect_set("item_id").alias("items"))
 
 
-def _side(df: DataFrame, each: Column) -> DataFrame:
-    """df to be broadcast, if its rows take at most BROADCAST_BYTES by the size of each."""
-    size = df.agg(F.coalesce(F.sum(each + 32), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def stored_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored postings (doc_id, text_hash, pos, id) of terms (term, id) in docs (doc_id, text_hash, text); pos counts all words from 0."""
     tokens = docs.select("doc_id", "text_hash", F.posexplode(words(F.col("text"))).alias("pos", "term"))
     of = terms.select(F.col("term").alias("t"), "id")
-    return written(tokens.join(_side(of, F.octet_length("t")), F.col("term") == F.col("t")).select("doc_id", "text_hash", "pos", "id"), "postings")
+    return written(tokens.join(small_side(of, F.octet_length("t")), F.col("term") == F.col("t")).select("doc_id", "text_hash", "pos", "id"), "postings")
 
 
 def _windows_by_rarity(index: DataFrame, windows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -72,7 +64,7 @@ def _same_place(start: Column, offset: Column) -> Column:
 def _candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, win, length, at) where a window's rarest term stands."""
     probes = windows.select("win", "length", "at", F.col("at")[0]["id"].alias("probe"), F.col("at")[0]["offset"].alias("offset"))
-    found = index.join(_side(probes, F.size("at") * 24), F.col("id") == F.col("probe"))
+    found = index.join(small_side(probes, F.size("at") * 24), F.col("id") == F.col("probe"))
     return found.select("doc_id", "text_hash", (F.col("pos") - F.col("offset")).alias("start"), "win", "length", "at").where("start >= 0")
 
 
@@ -91,20 +83,20 @@ def _phrase_matches(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     postings = index.select(F.col("doc_id").alias("q_doc"), F.col("text_hash").alias("q_hash"), F.col("pos").alias("q_pos"), F.col("id").alias("q_id"))
     # The second rarest terms' lists are short too.
     second = ranked.where("length > 1").select(F.col("at")[1]["id"].alias("s")).distinct()
-    seconds = postings.join(_side(second, F.lit(8)), F.col("q_id") == F.col("s"), "left_semi")
+    seconds = postings.join(small_side(second, F.lit(8)), F.col("q_id") == F.col("s"), "left_semi")
     two = F.col("at")[1]
     longer = found.where("length > 1").join(seconds, _same_place(F.col("start"), two["offset"]) & (F.col("q_id") == two["id"]), "left_semi")
     # Repeated rows of docs have repeated postings.
     longer = longer.select("doc_id", "text_hash", "start", "win").distinct()
-    longer = written(longer.join(_side(ranked.select(F.col("win").alias("w"), "length", "at"), F.size("at") * 24), F.col("win") == F.col("w")).drop("w"), "candidates")
+    longer = written(longer.join(small_side(ranked.select(F.col("win").alias("w"), "length", "at"), F.size("at") * 24), F.col("win") == F.col("w")).drop("w"), "candidates")
     held = longer.select(F.col("doc_id").alias("h_doc"), F.col("text_hash").alias("h_hash")).distinct()
     of_held = F.col("q_doc").eqNullSafe(F.col("h_doc")) & (F.col("q_hash") == F.col("h_hash"))
-    postings = postings.join(_side(held, F.lit(16)), of_held, "left_semi")
+    postings = postings.join(small_side(held, F.lit(16)), of_held, "left_semi")
     # The other terms must all have a posting at their places; each place is asked for once.
     asked = longer.where("length > 2").select("doc_id", "text_hash", "start", "win", F.explode(F.slice("at", 3, size)).alias("x")).select("doc_id", "text_hash", (F.col("start") + F.col("x.offset")).alias("place"), F.col("x.id").alias("term_id"), "start", "win")
     there = asked.join(postings, _same_place(F.col("place"), F.lit(0)) & (F.col("q_id") == F.col("term_id")), "left_semi")
     agreed = there.groupBy("doc_id", "text_hash", "start", "win").agg(F.count("*").alias("rest"))
-    whole = agreed.join(_side(ranked.where("length > 2").select(F.col("win").alias("w"), "length", "items"), F.lit(64)), (F.col("win") == F.col("w")) & (F.col("rest") == F.col("length") - 2))
+    whole = agreed.join(small_side(ranked.where("length > 2").select(F.col("win").alias("w"), "length", "items"), F.lit(64)), (F.col("win") == F.col("w")) & (F.col("rest") == F.col("length") - 2))
     short = found.where("length = 1").unionAll(longer.where("length = 2")).select("doc_id", "text_hash", "start", "win")
     short = short.join(ranked.select(F.col("win").alias("w"), "length", "items"), F.col("win") == F.col("w"))
     columns = ["doc_id", "text_hash", "start", "length", "items"]

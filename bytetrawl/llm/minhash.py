@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, fresh, mix64, prepare, scratch, segment_hashes, written
+from .common import filled, fresh, mix64, prepare, scratch, segment_hashes, small_side, written
 from .graph import components
 
 SHINGLE, COORDINATES, MISSED = 5, 32, 1e-11
@@ -303,7 +303,7 @@ def set_links(sets: DataFrame, docs: DataFrame, least: int) -> DataFrame | None:
             yield pd.DataFrame({"key": pdf["key"], "k0": halves[:, 0], "k1": halves[:, 1], "shingles": [s.view(np.int64) for s in sets]})[own]
 
     schema = "key binary, k0 long, k1 long, shingles array<long>"
-    texts = docs.join(ids, F.col("doc_id") == F.col("id")).select("key", "text")
+    texts = docs.join(small_side(ids, 40), F.col("doc_id") == F.col("id")).select("key", "text")
     full_sets = written(texts.mapInPandas(full, schema), "full")
     if full_sets.count() > wanted.count():  # repeated rows
         full_sets = written(full_sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("k0", "k1", "shingles")]), "full")
@@ -376,7 +376,8 @@ def one_of_each(docs: DataFrame, least: int) -> DataFrame:
     kept = docs.withColumn(digest, F.xxhash64("text"))
     same = (F.col("doc_id") == F.col(ident)) & (F.col(digest) == F.col(mark))
     repeated = written(judged.where("same").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(*pair), "repeated")
-    kept = kept.join(judged.where("not same").select(*pair).distinct(), same, "left_anti")
+    dropped = written(judged.where("not same").select(*pair).distinct(), "dropped")
+    kept = kept.join(small_side(dropped, 16), same, "left_anti")
     if not repeated.isEmpty():
         order = Window.partitionBy("doc_id", digest).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
         several = kept.join(repeated, same, "left_semi").withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).drop(at)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf, decontam, minhash, packing, quality
-from .common import fresh, table
+from .common import fresh, small_side, table
 from .queries import word_tokenizer
 
 #: Documents are near-duplicates from this similarity on, in percent of their runs of five words.
@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = decontam.phrase_matches(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     ident, mark = fresh(docs, 2)
     hit = found.select(F.col("doc_id").alias(ident), F.col("text_hash").alias(mark)).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(mark)), "left_anti")
+    return docs.join(small_side(hit, 16), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(mark)), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
