@@ -85,6 +85,7 @@ _hits("hits_inline_switch", "documents", "doc_id", "text", P(["(?i)the(?-i)r", "
 _hits("hits_case_insensitive", "documents", "doc_id", "text", P(["THE", "tion"], options=Options(case_insensitive=True)))
 _hits("hits_unicode_class", "documents", "doc_id", "text", ACCENTS)
 _hits("hits_escapes", "documents", "doc_id", "text", P([r"\x65\N{LATIN SMALL LETTER R}", r"\.\n", r"\x{e9}[a-z]", r"\d\d", r"\s\w{3}\s", r"\156\144"], _UTF8))
+_hits("hits_space_classes", "documents", "doc_id", "text", P([r"\.\v+[A-Z]", r"[a-z]\h[a-z]\h", r"\V{40}\v", r",\H"]))
 _hits("hits_alternation_order", "documents", "doc_id", "text", P(["th|the|there", "there|the|th"]))
 _hits("hits_fixed", "documents", "doc_id", "text", P(["the.", "Licensed under", "a+b"], options=Options(fixed=True)))
 _hits("starts_with_hits", "pages", "page_id", "html", P(["<!DOCTYPE html>", "<[!a-zA-Z]+", "html"]), begins=True)
@@ -182,6 +183,7 @@ def _encoded(name: str, chain: str, charset: str, width: int, patterns: list[str
 
 _encoded("hits_utf16le", "UTF-16LE", "UTF-16LE", 2, ["the", "[a-z]+é", "e{2,}"])
 _encoded("hits_utf16be", "UTF-16BE", "UTF-16BE", 2, ["and[^a-z]"])
+_encoded("hits_utf32be", "UTF-32BE", "UTF-32", 4, ["the", "[a-z]+é", "e{2,}"])
 _encoded("hits_latin1", "iso-8859-1", "ISO-8859-1", 1, ["[À-ÿ]+", "th."])
 
 
